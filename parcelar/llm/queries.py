@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import sharding
+from . import decontamination, sharding
 
 QUERIES = {
     "op5_sharding": sharding.op5_sharding,
+    "op9_decontamination": decontamination.op9_decontamination,
 }
 
 ORACLES = {
     "op5_sharding": sharding.SQL,
+    "op9_decontamination": decontamination.SQL,
 }
