@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontamination, sharding
+from . import decontamination, sharding, suffix_dedup
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op5_sharding": sharding.op5_sharding,
     "op9_decontamination": decontamination.op9_decontamination,
 }
