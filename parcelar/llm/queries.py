@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontamination, sharding, suffix_dedup
+from . import decontamination, pii, sharding, suffix_dedup, token_counts
 
 QUERIES = {
+    "op6_token_counts": token_counts.op6_token_counts,
+    "op2_pii": pii.op2_pii,
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op5_sharding": sharding.op5_sharding,
     "op9_decontamination": decontamination.op9_decontamination,
