@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontamination, pii, sharding, suffix_dedup, token_counts
+from . import decontamination, pii, sentencepiece_codec, sharding, suffix_dedup, token_counts
 
 QUERIES = {
+    "op3_sentencepiece": sentencepiece_codec.op3_sentencepiece,
     "op6_token_counts": token_counts.op6_token_counts,
     "op2_pii": pii.op2_pii,
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
