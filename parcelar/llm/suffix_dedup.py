@@ -7,7 +7,7 @@ corpus fits on no machine, so equal windows are first brought together:
 1. The smallest 32-gram hash inside a window depends on the window's bytes alone.  Consecutive windows
    with the same smallest hash form a *segment*, about 600 bytes for 400-byte windows; equal windows
    lie in segments of the same smallest hash, their *bucket*.  Only hashes and offsets are shuffled.
-2. Buckets whose hash occurs once hold no repeat.  A bucket with one distinct segment is a pure
+2. Buckets whose hash occurs once hold no repeat and are dropped.  A bucket with one distinct segment is a pure
    copy.  For the others one copy of each distinct segment is fetched, and a suffix array over the
    bucket's segments (several buckets at a time, a few MB) is built by prefix doubling.  Positions in
    suffix order have a previous and a next smaller position, and the longer of the two common prefixes
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import checkpoint, documents
 
 LENGTH = 400
 #: Bytes of one bucket's distinct segments, and of one suffix array.
@@ -208,29 +208,35 @@ def suffix_order(data: np.ndarray, places: np.ndarray, length: int) -> tuple[np.
     levels: list[tuple[int, np.ndarray]] = []
     span = min(8, length)
 
-    def ranks(key: np.ndarray) -> np.ndarray:
-        order = np.argsort(key)
-        new = np.ones(len(key), np.int32)
-        new[0] = 0
+    def ranks(key: np.ndarray, near: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Dense ranks of the keys, and the places in their order; ``near`` is an order that is almost right."""
+        if near is None:
+            order = np.argsort(key)
+        else:  # runs that are in order already cost a merge sort no more than a look
+            order = near[np.argsort(key[near], kind="stable")]
         sorted_key = key[order]
+        new = np.zeros(len(key), np.int32)
         new[1:] = sorted_key[1:] != sorted_key[:-1]
         out = np.empty(len(key), np.int32)
         out[order] = np.cumsum(new, dtype=np.int32)
-        return out
+        return out, order
 
-    rank = ranks(key)
+    rank, order = ranks(key, None)
     levels.append((span, rank))
     while span < length:
         step = min(span, length - span)
         later = np.zeros(n, np.uint64)
         later[: n - step] = rank[step:].astype(np.uint64) + np.uint64(1)
         key = (rank.astype(np.uint64) << np.uint64(32)) | later
+        rank, order = ranks(key, order if span >= 16 else None)
         span += step
-        rank = ranks(key if span < length else key[places])
         levels.append((span, rank))
-    final = rank if len(levels) > 1 else rank[places]
-    order = np.lexsort((places, final))
-    sa, final = places[order], final[order]
+    wanted = np.zeros(n, bool)
+    wanted[places] = True
+    sa = order[wanted[order]]
+    final = rank[sa]
+    settled = np.argsort((final.astype(np.uint64) << np.uint64(32)) | sa.astype(np.uint64), kind="stable")
+    sa, final = sa[settled], final[settled]
     common = np.zeros(len(sa), np.int32)
     same = np.zeros(len(sa), bool)
     same[1:] = final[1:] == final[:-1]
@@ -272,13 +278,19 @@ def _nearest(sa: np.ndarray, common: np.ndarray) -> np.ndarray:
 
 
 def longest_factors(data: np.ndarray, places: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Longest previous and longest next factor from each of ``places`` (ascending), capped at ``length``."""
+    """Longest previous factor, and longest factor anywhere else, from each of ``places`` (ascending).
+
+    Both are capped at ``length``.  The previous factor is the longer of the common prefixes with the
+    nearest smaller positions above and below in suffix order; the longest one anywhere is the longer of
+    those with the two neighbours.
+    """
     sa, common = suffix_order(data, places, length)
-    below = np.append(common[1:], 0)[::-1].astype(np.int32)  # the same order read upwards
-    previous = np.maximum(_nearest(sa, common), _nearest(sa[::-1], below)[::-1])
-    following = np.maximum(_nearest(-sa, common), _nearest(-sa[::-1], below)[::-1])
-    back = np.argsort(sa)
-    return previous[back], following[back]
+    upwards = np.append(common[1:], 0)[::-1].astype(np.int32)  # the same order read from its end
+    previous = np.maximum(_nearest(sa, common), _nearest(sa[::-1], upwards)[::-1])
+    anywhere = np.maximum(common, upwards[::-1])
+    back = np.empty(len(sa), np.int64)
+    back[np.searchsorted(places, sa)] = np.arange(len(sa))
+    return previous[back], anywhere[back]
 
 
 def _runs(hit: np.ndarray, length: int) -> list[int]:
@@ -302,8 +314,8 @@ def _factor(length: int, array_bytes: int):
         base = np.cumsum(sizes) - sizes
         counts = sizes - length + 1
         places = np.repeat(base, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        previous, following = longest_factors(data, places, length)
-        earlier, anywhere = previous >= length, np.maximum(previous, following) >= length
+        previous, other = longest_factors(data, places, length)
+        earlier, anywhere = previous >= length, other >= length
         out, at = [], 0
         for r, k in zip(rows, counts.tolist()):
             if anywhere[at : at + k].any():
@@ -401,13 +413,12 @@ def remove_repeats(
     kind = slim.schema["doc_id"].dataType.simpleString()
     key = ["bucket", "s1", "s2"]
     found = slim.where(F.octet_length("text") >= length).mapInArrow(_find(length), _SEGMENT.format(id=kind))
-    distinct = found.groupBy(*key).agg(
-        F.count("*").alias("copies"), F.sum("times").alias("times"), F.min(F.struct("doc_id", "k1", "start", "n")).alias("place")
-    )
-    buckets = distinct.groupBy("bucket").agg(
-        F.sum("times").alias("total"), F.count("*").alias("kinds"), F.sum(F.col("place.n") + (length - 1)).alias("bytes")
-    )
-    repeated = distinct.join(buckets.where("total > 1"), "bucket")
+    several = found.groupBy("bucket").agg(F.sum("times").alias("total")).where("total > 1").select("bucket")
+    # Most segments end here; what is left is kept, since all that follows starts from it.
+    found = checkpoint(found.join(several, "bucket"))
+    distinct = found.groupBy(*key).agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "k1", "start", "n")).alias("place"))
+    buckets = distinct.groupBy("bucket").agg(F.count("*").alias("kinds"), F.sum(F.col("place.n") + (length - 1)).alias("bytes"))
+    repeated = distinct.join(buckets, "bucket")
     mixed = repeated.where("NOT (kinds = 1 AND copies > 1)")
 
     def same_row(a: str, b: str):
