@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard_join, pii, sentencepiece_codec, sharding, suffix_dedup, token_counts
+from . import decontamination, jaccard_join, pii, quality, sentencepiece_codec, sharding, suffix_dedup, token_counts
 
 QUERIES = {
+    "op8_quality": quality.op8_quality,
     "op7_jaccard_join": jaccard_join.op7_jaccard_join,
     "op3_sentencepiece": sentencepiece_codec.op3_sentencepiece,
     "op6_token_counts": token_counts.op6_token_counts,
