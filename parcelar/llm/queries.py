@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard_join, pii, quality, sentencepiece_codec, sharding, suffix_dedup, token_counts
+from . import decontamination, hamming_search, jaccard_join, pii, quality, sentencepiece_codec, sharding, suffix_dedup, token_counts
 
 QUERIES = {
+    "op4_hamming_search": hamming_search.op4_hamming_search,
     "op8_quality": quality.op8_quality,
     "op7_jaccard_join": jaccard_join.op7_jaccard_join,
     "op3_sentencepiece": sentencepiece_codec.op3_sentencepiece,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op4_hamming_search": hamming_search.SQL,
     "op5_sharding": sharding.SQL,
     "op9_decontamination": decontamination.SQL,
 }
