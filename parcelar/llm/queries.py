@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontamination, hamming_search, jaccard_join, pii, quality, sentencepiece_codec, sharding, suffix_dedup, token_counts
+from . import decontamination, hamming_search, jaccard_join, pii, quality, secrets, sentencepiece_codec, sharding, suffix_dedup, token_counts
 
 QUERIES = {
+    "op10_secrets": secrets.op10_secrets,
     "op4_hamming_search": hamming_search.op4_hamming_search,
     "op8_quality": quality.op8_quality,
     "op7_jaccard_join": jaccard_join.op7_jaccard_join,
