@@ -1,8 +1,65 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: filter, deduplicate, decontaminate, redact and encode the documents.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
+again as the next stage's ``docs``.  All stages but the last return the columns of ``documents``.  Side
+tables (labels, benchmark) come from ``sf_dir``.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from parcelar.llm import decontamination, jaccard_join, quality, secrets, sentencepiece_codec
+from parcelar.llm.common import documents, ensure_checkpoint_dir
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of copies and near copies stays."""
+    return jaccard_join.keep_representatives(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a benchmark window go."""
+    return decontamination.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked; every document stays."""
+    return secrets.redact_secrets(docs)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document."""
+    return sentencepiece_codec.encode_texts(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("secret scans", secret_scan),
+    ("SentencePiece encoding", encoding),
+]
+
+#: SQL expresses neither the fitted models nor the encoder; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what a stage keeps is written to the shared folder and read again."""
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    docs = documents(spark, sf_dir)
+    for nth, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if nth < len(STAGES) - 1:
+            docs.write.parquet(f"{folder}/{nth}")
+            docs = spark.read.parquet(f"{folder}/{nth}")
+    return docs

@@ -166,6 +166,19 @@ def decontaminate(
     )
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """The rows of ``documents`` without any benchmark window, with their columns.
+
+    Only the hits are joined back, by id and text hash, so that equal rows share a verdict.
+    """
+    key = F.xxhash64("doc_id", "text")
+    keyed = docs.select(F.struct("doc_id", key.alias("k1")).alias("doc_id"), "text")
+    hit = decontaminate(keyed, benchmark, **options).where("contaminated").select("doc_id.*").distinct()
+    hit = hit.select(F.col("doc_id").alias("_doc_id"), F.col("k1").alias("_k1"))
+    on = docs["doc_id"].eqNullSafe(F.col("_doc_id")) & (F.xxhash64(docs["doc_id"], docs["text"]) == F.col("_k1"))
+    return docs.join(hit, on, "left_anti")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 

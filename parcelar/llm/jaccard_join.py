@@ -281,32 +281,18 @@ def _tiled(threshold: float, looks: list[tuple[int, int]]):
     return tiled
 
 
-def jaccard_links(
-    docs: DataFrame,
+def text_classes(
+    slim: DataFrame,
     threshold: float = THRESHOLD,
     n: int = N,
     n_bands: int = BANDS,
     n_rows: int = ROWS,
     tolerance: float = TOLERANCE,
-    doc_id: str = "doc_id",
-    text: str = "text",
     block_texts: int = BLOCK_TEXTS,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """One row per document row: doc_id, class_id, n_links, n_copies.
-
-    ``n_links`` counts the *other texts* whose n-gram sets have a Jaccard similarity of ``threshold`` or
-    more with this one; ``n_copies`` counts the rows with this same text, itself included.  ``class_id``
-    is the smallest doc_id among all documents tied by copies and links, directly or through others.
-
-    Texts are told apart by a 64-bit hash.  A null text counts as empty; a text without words links to
-    nothing, but equal texts are copies all the same; a null id stays null and is the class id only where
-    all ids of a class are null; repeated rows each keep a row; an empty table gives an empty table; other
-    columns are ignored, whatever their names.
-    """
+    """One row per different text of ``slim (doc_id, text, t)``: t, first, n_copies, class, n_links."""
     values = n_bands * n_rows
-    slim = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    slim = slim.withColumn("t", F.xxhash64("text"))
     keyed = slim.select("t", "text").mapInArrow(_banded(n, n_bands, n_rows), "t long, grams long, keys array<long>")
     spread = keyed.select("t", "grams", F.explode("keys").alias("key"))
     # Copies of a text bring the same (key, t) pairs, which combine before the shuffle.
@@ -341,11 +327,33 @@ def jaccard_links(
     linked = checkpoint(tiles.groupBy("t", "root").agg(F.sum("links").alias("links")))
     classes = connected_components(linked.select(F.col("t").alias("u"), F.col("root").alias("v")))
     links = linked.groupBy("t").agg(F.sum("links").alias("n_links"))
-    texts = (
+    return (
         first.join(classes.withColumnRenamed("node", "t"), "t", "left")
         .join(links, "t", "left")
         .select("t", "first", "n_copies", F.coalesce("root", "t").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     )
+
+
+def _slim(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    slim = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return slim.withColumn("t", F.xxhash64("text"))
+
+
+def jaccard_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """One row per document row: doc_id, class_id, n_links, n_copies.
+
+    ``n_links`` counts the *other texts* whose n-gram sets have a Jaccard similarity of ``threshold`` or
+    more with this one; ``n_copies`` counts the rows with this same text, itself included.  ``class_id``
+    is the smallest doc_id among all documents tied by copies and links, directly or through others.
+    Options are those of :func:`text_classes`.
+
+    Texts are told apart by a 64-bit hash.  A null text counts as empty; a text without words links to
+    nothing, but equal texts are copies all the same; a null id stays null and is the class id only where
+    all ids of a class are null; repeated rows each keep a row; an empty table gives an empty table; other
+    columns are ignored, whatever their names.
+    """
+    slim = _slim(docs, doc_id, text)
+    texts = text_classes(slim, **options)
     named = texts.groupBy("class").agg(F.min("first").alias("class_id"))
     return (
         slim.select("doc_id", "t")
@@ -354,6 +362,20 @@ def jaccard_links(
     )
 
 
+def keep_representatives(docs: DataFrame, **options) -> DataFrame:
+    """One row of ``documents`` for each class of :func:`jaccard_links`, with its columns.
+
+    The row with the smallest id stays (of rows that share it, the one with the smallest text hash); a
+    class without any id keeps one row too.  Rows with equal id and text are combined before the shuffle.
+    """
+    texts = text_classes(_slim(docs, "doc_id", "text"), **options)
+    best = texts.groupBy("class").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "t")).alias("w"))
+    winners = best.select(F.xxhash64("w.first", "w.t").alias("_k"))
+    text = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    rows = docs.withColumn("_k", F.xxhash64(F.col("doc_id"), text)).dropDuplicates(["_k"])
+    return rows.join(winners, "_k", "left_semi").drop("_k")
+
+
 def _unique(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Drops a text that came twice into a tile (rows with the same id and text)."""
     last = None

@@ -155,13 +155,12 @@ class SiteModel:
 def fit_sites(measured_docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, broadcast_sites: int = BROADCAST_SITES) -> SiteModel:
     """Fit on rows (doc_id, host, path, x) and labels (doc_id, quality)."""
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.avg("quality").alias("quality"))
-    rows = (
-        measured_docs.join(known, "doc_id")
-        .select("doc_id", "x", "quality")
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(sample)
-        .collect()
-    )
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31))
+    found = measured_docs.join(known, "doc_id").select(place.alias("place"), "doc_id", "x", "quality")
+    labelled = found.count()
+    if labelled > sample:  # so that tasks don't each send a full sample
+        found = found.where(F.col("place") < int((1 << 31) * min(1.0, sample / labelled * 1.1 + 1000 / labelled)))
+    rows = found.orderBy("place", "doc_id").limit(sample).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["x"]))
     x = np.array([r["x"] for r in rows], float).reshape(len(rows), len(MEASURES))
     classifier = fit_logistic(x, np.array([float(r["quality"] >= 0.5) for r in rows]))
