@@ -40,6 +40,43 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 _FAR = np.int64(1) << np.int64(40)
 
 
+class _Keys:
+    """Distinct sorted 64-bit keys, entered by their upper bits.
+
+    Most keys that are probed are not there, and most of those fall where no key begins with their upper
+    bits; only the others are compared.
+    """
+
+    BITS = 20
+
+    def __init__(self, keys: np.ndarray):
+        self.order = np.argsort(keys)
+        self.keys = keys[self.order]
+        top = (self.keys >> np.uint64(64 - self.BITS)).astype(np.int64)
+        self.count = np.bincount(top, minlength=1 << self.BITS).astype(np.uint8)
+        self.start = (np.cumsum(self.count) - self.count).astype(np.int32)
+        self.most = int(self.count.max(initial=0))
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Indexes of the probed keys that are there, and the place of each in the keys as given."""
+        top = (keys >> np.uint64(64 - self.BITS)).astype(np.int64)
+        who = np.flatnonzero(self.count[top])
+        top, wanted = top[who], keys[who]
+        spot = self.start[top]
+        end = spot + self.count[top]
+        hits, places = [], []
+        for _ in range(self.most):
+            same = self.keys[spot] == wanted
+            hits.append(who[same])
+            places.append(spot[same])
+            spot = spot + 1
+            go = ~same & (spot < end)
+            who, wanted, spot, end = who[go], wanted[go], spot[go], end[go]
+        if not hits:
+            return who, who
+        return np.concatenate(hits), self.order[np.concatenate(places)]
+
+
 class Codec:
     """Ids of texts and texts of ids for one SentencePiece model, given as the bytes of its file."""
 
@@ -85,10 +122,9 @@ class Codec:
             self._derive()
         found = [(p, i) for p, i in usable.items() if not self.bpe or self.reachable[i]]
         keys = np.array([_key(p) for p, _ in found], np.uint64)
-        by_key = np.argsort(keys)
-        self.keys, self.key_ids = keys[by_key], np.array([i for _, i in found])[by_key]
-        if len(np.unique(self.keys)) != len(self.keys):
+        if len(np.unique(keys)) != len(keys):
             raise ValueError("two pieces share a hash")
+        self.keys, self.key_ids = _Keys(keys), np.array([i for _, i in found])
 
     # -- merges ---------------------------------------------------------------------------------
 
@@ -142,8 +178,8 @@ class Codec:
                 a, b = self.ids.get(p[:k]), self.ids.get(p[k:])
                 if a is not None and b is not None:
                     pairs[a << 32 | b] = self.rank[i]
-        self.pair_keys = np.array(sorted(pairs), np.int64)
-        self.pair_ranks = np.array([pairs[k] for k in self.pair_keys.tolist()], np.int64)
+        keys = np.array(list(pairs), np.int64)
+        self.pair_keys, self.pair_ranks = _Keys(_pair(keys >> 32, keys & 0xFFFFFFFF)), np.array(list(pairs.values()), np.int64)
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether each pair of reachable pieces is the encoding of its concatenation."""
@@ -153,9 +189,9 @@ class Codec:
         until_x = np.full(len(a), _FAR)
         until_y = until_x.copy()
         while len(at):
-            key = x << np.int64(32) | y
-            spot = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-            merged = np.where(self.pair_keys[spot] == key, self.pair_ranks[spot], _FAR)
+            who, spot = self.pair_keys.find(_pair(x, y))
+            merged = np.full(len(x), _FAR)
+            merged[who] = self.pair_ranks[spot]
             crossed = (merged < until_x) & (merged <= until_y) & (merged < _FAR)
             good[at[crossed]] = False
             born_x, born_y = self.born[x], self.born[y]
@@ -185,10 +221,11 @@ class Codec:
             rows, ids, starts = [], [], []
             for s in range(max(0, e - self.longest), e):
                 key = _finish(prefix[e] - prefix[s] * power[e - s], e - s)
-                spot = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-                hit = np.flatnonzero((self.keys[spot] == key) & (best[s] > -np.inf))
+                hit, spot = self.keys.find(key)
+                reached = best[s, hit] > -np.inf
+                hit, spot = hit[reached], spot[reached]
                 rows.append(hit)
-                ids.append(self.key_ids[spot[hit]])
+                ids.append(self.key_ids[spot])
                 starts.append(np.full(len(hit), s))
             row, i, s = map(np.concatenate, (rows, ids, starts))
             if self.bpe:
@@ -270,14 +307,23 @@ class Codec:
     def encode(self, texts: list[str], memory: dict[str, tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts behind one another, and the number of each; ``memory`` keeps words' ids."""
         split = [self.words(t) for t in texts]
-        new = {w for words in split for w in words if w not in memory}
+        sizes = np.array([len(words) for words in split], np.int64)
+        numbered = pa.array(list(chain.from_iterable(split)), pa.string()).dictionary_encode()
+        word, distinct = numbered.indices.to_numpy(), numbered.dictionary.to_pylist()
+        new = [w for w in distinct if w not in memory]
         if len(memory) + len(new) > MEMORY:
             memory.clear()
-            new = {w for words in split for w in words}
+            new = distinct
         memory.update(self.encode_words(sorted(new)))
-        counts = np.array([sum(len(memory[w]) for w in words) for words in split], np.int64)
-        ids = np.fromiter(chain.from_iterable(memory[w] for words in split for w in words), np.int32, int(counts.sum()))
-        return ids, counts
+        own = list(map(memory.__getitem__, distinct))
+        width = np.fromiter(map(len, own), np.int64, len(own))
+        pool = np.fromiter(chain.from_iterable(own), np.int32, int(width.sum()))
+        each = width[word]
+        upto = np.cumsum(each)
+        start = np.cumsum(width) - width
+        ids = pool[np.repeat(start[word] - (upto - each), each) + np.arange(int(each.sum()))]
+        bounds = np.concatenate([[0], upto])[np.concatenate([[0], np.cumsum(sizes)])]
+        return ids, np.diff(bounds)
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
         """UTF-8 bytes of each text, without the blank that encoding put in front."""
@@ -291,8 +337,15 @@ class Codec:
 
 
 def _finish(h: np.ndarray, length: int) -> np.ndarray:
-    h = h ^ np.uint64(length * 0xC2B2AE3D27D4EB4F % 2**64)
-    return h ^ (h >> np.uint64(31))
+    h = (h ^ np.uint64(length * 0xC2B2AE3D27D4EB4F % 2**64)) * _P
+    return (h ^ (h >> np.uint64(29))) * _P
+
+
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A 64-bit key of two ids; different pairs have different keys, since each step can be undone."""
+    h = (a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64)) * _P
+    h ^= h >> np.uint64(32)
+    return h * _P
 
 
 def _key(piece: str) -> int:
