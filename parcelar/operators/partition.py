@@ -63,3 +63,24 @@ def map_colors(partition: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     every = runs.join(nodes.select("instance", "node_id", "name"), "instance")
     found = every.join(partition.select("run_id", "node_id", "region"), ["run_id", "node_id"], "left")
     return found.select("run_id", "node_id", "name", "region", F.try_element_at(table, F.col("region")).alias("color"))
+
+
+def feasible_elements(partition: DataFrame, pairs: DataFrame, adjacent: DataFrame) -> DataFrame:
+    """``run_id, node_id, region, g`` of every node without a region beside a region, with its greedy score.
+
+    The score is what the objective gains: (sum of distances to the region - the region's own cost) over
+    (its size + 1), with the region's cost from its pairs.
+    """
+    both = pairs.select("instance", "i", "j", "d").unionByName(pairs.select("instance", F.col("j").alias("i"), F.col("i").alias("j"), "d"))
+    sizes = partition.groupBy("run_id", "region").agg(F.count("*").alias("n"))
+    a = partition.select("run_id", "instance", "region", F.col("node_id").alias("i"))
+    inside = a.join(pairs, ["instance", "i"]).join(a.withColumnRenamed("i", "j"), ["run_id", "instance", "region", "j"])
+    cost = inside.groupBy("run_id", "region").agg(F.sum("d").alias("d"))
+    beside = a.join(adjacent.withColumnRenamed("node_id", "i"), ["instance", "i"]).select("run_id", "instance", "region", F.col("neighbour").alias("v"))
+    taken = partition.select("run_id", F.col("node_id").alias("v"))
+    free = beside.join(taken, ["run_id", "v"], "left_anti").distinct()
+    sums = free.join(a, ["run_id", "instance", "region"]).join(both.withColumnRenamed("j", "v"), ["instance", "i", "v"])
+    sums = sums.groupBy("run_id", "v", "region").agg(F.sum("d").alias("s"))
+    scored = sums.join(sizes, ["run_id", "region"]).join(cost, ["run_id", "region"], "left")
+    g = (F.col("s") - F.coalesce(F.col("d") / F.col("n"), F.lit(0.0))) / (F.col("n") + 1)
+    return scored.select("run_id", F.col("v").alias("node_id"), "region", g.alias("g"))

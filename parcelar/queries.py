@@ -1,6 +1,853 @@
-"""Registry of the engine's own queries; filled from the modules that implement them."""
+"""Registry of the engine's own queries and of the SQL that each is held against.
+
+The SQL is an independent formulation: recursive queries where Spark folds arrays or runs a kernel, the
+other closed form where an objective has two.  Doubles are rounded to six places on both sides.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from parcelar.functions.keys import CROSS_DRAW, ELITE_DRAW, OTHER_DRAW, key_sql, place_sql
+from parcelar.operators import analysis, decoders, features, kernels, partition
+from parcelar.operators.classic import CLASSIC
+from parcelar.plans import batch, search
+from parcelar.sources import fixtures, tables
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+K, SEED = 4, 7
+POPULATION = 20
+CONFIG = search.SearchConfig(population_size=POPULATION, max_generations=6, tolerance_generations=100, max_time=None, seed=SEED)
+STATS = ("mean", "std", "min", "q10", "q25", "median", "q75", "q90", "elite_cutoff")
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with the SQL it is held against."""
+
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def six(*columns: str) -> dict:
+    """Columns rounded to six places, without negative zeros."""
+    return {c: F.round(c, 6) + F.lit(0.0) for c in columns}
+
+
+# -- fixtures ----------------------------------------------------------------------------------------
+
+
+def lattice(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return fixtures.nation_lattice(spark, sf_dir)
+
+
+def runs(spark: SparkSession, method: str, count: int = 1, instance: str = "nation_lattice", n: int = 25, m: int = 40) -> DataFrame:
+    """``run_id, instance, k, seed, length`` of runs with seeds from SEED on."""
+    rows = [(f"r{i}", instance, K, SEED + i, kernels.chromosome_length(method, n, m)) for i in range(count)]
+    return spark.createDataFrame(rows, "run_id string, instance string, k int, seed int, length int")
+
+
+def population(spark: SparkSession, method: str, count: int = POPULATION) -> DataFrame:
+    return search.random_chromosomes(runs(spark, method), 0, count, 0)
+
+
+NODES = """
+nodes AS (
+  SELECT n_nationkey AS node_id, n_name AS name, [coalesce(a, 0.0), coalesce(c, 0) * 100.0::DOUBLE] AS x
+  FROM nation LEFT JOIN (SELECT c_nationkey, avg(c_acctbal) AS a, count(*) AS c FROM customer GROUP BY c_nationkey) ON c_nationkey = n_nationkey
+), lattice AS (
+  SELECT (row_number() OVER (ORDER BY u, v) - 1)::INTEGER AS edge_id, u, v FROM (
+    SELECT a.node_id AS u, b.node_id AS v FROM nodes a JOIN nodes b
+    ON (b.node_id = a.node_id + 1 AND a.node_id % 5 < 4) OR b.node_id = a.node_id + 5)
+), weighted AS (
+  SELECT edge_id, u, v, (a.x[1] - b.x[1]) ** 2 + (a.x[2] - b.x[2]) ** 2 AS d
+  FROM lattice JOIN nodes a ON a.node_id = u JOIN nodes b ON b.node_id = v
+), pairs AS (
+  SELECT a.node_id AS i, b.node_id AS j, (a.x[1] - b.x[1]) ** 2 + (a.x[2] - b.x[2]) ** 2 AS d
+  FROM nodes a JOIN nodes b ON a.node_id < b.node_id
+), chroms AS (
+  SELECT range::INTEGER AS chrom FROM range({chroms})
+)"""
+
+
+def with_nodes(text: str, chroms: int = 1, recursive: bool = False) -> str:
+    return f"WITH {'RECURSIVE ' * recursive}{NODES.replace('{chroms}', str(chroms))}{text}"
+
+
+def gene(chrom: str, place: str) -> str:
+    """SQL of a key of generation 0."""
+    return key_sql(str(SEED), place_sql("0", chrom, place))
+
+
+# -- sources -----------------------------------------------------------------------------------------
+
+
+@query(with_nodes(" SELECT 'nation_lattice' AS instance, node_id::INTEGER AS node_id, name, round(x[1], 6) AS x_1, round(x[2], 6) AS x_2 FROM nodes"))
+def feature_flatten(spark, sf_dir):
+    nodes, _ = lattice(spark, sf_dir)
+    return features.feature_flatten(nodes, 2).withColumns(six("x_1", "x_2"))
+
+
+@query(with_nodes(" SELECT 'nation_lattice' AS instance, edge_id, u, v, round(d, 4) AS d FROM weighted"))
+def edge_dissimilarity(spark, sf_dir):
+    return features.edge_dissimilarity(*lattice(spark, sf_dir)).withColumn("d", F.round("d", 4))
+
+
+@query(
+    """SELECT a.vec_id::INTEGER AS i, b.vec_id::INTEGER AS j,
+  round(list_sum([(a.embedding[t]::DOUBLE - b.embedding[t]::DOUBLE) ** 2 FOR t IN range(1, 65)]), 6) AS d FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id"""
+)
+def pairwise_dissimilarity(spark, sf_dir):
+    nodes, _ = fixtures.embedding_ring(spark, sf_dir)
+    return features.pairwise_dissimilarity(nodes).select("i", "j", F.round("d", 6).alias("d"))
+
+
+@query(with_nodes(" SELECT 'nation_lattice' AS instance, (SELECT count(*) FROM nodes) AS n_nodes, (SELECT count(*) FROM lattice) AS n_edges"))
+def graph_size(spark, sf_dir):
+    return features.graph_size(*lattice(spark, sf_dir))
+
+
+@query(
+    with_nodes(
+        """ SELECT node_id::INTEGER AS node_id, string_agg(u || '/' || v, ' ' ORDER BY u, v) AS points
+  FROM nodes JOIN lattice ON node_id = u OR node_id = v GROUP BY node_id"""
+    )
+)
+def node_points(spark, sf_dir):
+    points = features.node_points(lattice(spark, sf_dir)[1])
+    text = F.array_join(F.transform("points", lambda p: F.concat_ws("/", p["px"], p["py"])), " ")
+    return points.select("node_id", text.alias("points"))
+
+
+@query(with_nodes(" SELECT u::INTEGER AS node_id, v::INTEGER AS neighbour FROM lattice UNION SELECT v::INTEGER, u::INTEGER FROM lattice"))
+def shared_point_contiguity(spark, sf_dir):
+    return features.shared_point_contiguity(features.node_points(lattice(spark, sf_dir)[1])).select("node_id", "neighbour")
+
+
+@query("SELECT 0::BIGINT AS differences")
+def contiguity_roundtrip(spark, sf_dir):
+    _, edges = fixtures.segment_nation(spark, sf_dir)
+    return features.contiguity_difference(edges).agg(F.count("*").alias("differences"))
+
+
+@query(
+    with_nodes(
+        """ SELECT node_id::INTEGER AS node_id, string_agg(other, ',' ORDER BY other) AS neighbours
+  FROM (SELECT u AS node_id, v AS other FROM lattice UNION ALL SELECT v, u FROM lattice) GROUP BY node_id"""
+    )
+)
+def neighbour_lists(spark, sf_dir):
+    return features.neighbour_lists(lattice(spark, sf_dir)[1]).select("node_id", F.concat_ws(",", F.col("neighbours").cast("array<string>")).alias("neighbours"))
+
+
+@query(with_nodes(" SELECT edge_id, u, v FROM weighted WHERE d <= (SELECT median(d) FROM weighted)"))
+def edges_deleted(spark, sf_dir):
+    nodes, edges = lattice(spark, sf_dir)
+    weights = features.edge_dissimilarity(nodes, edges)
+    middle = weights.agg(F.percentile("d", F.lit(0.5)).alias("middle"))
+    removed = weights.join(F.broadcast(middle), F.col("d") > F.col("middle"))  # one row
+    return features.without_edges(edges, removed).select("edge_id", "u", "v")
+
+
+# -- graphs ------------------------------------------------------------------------------------------
+
+TREE = """
+, ranked AS (
+  SELECT chrom, edge_id, u, v, w, wp, row_number() OVER (PARTITION BY chrom ORDER BY w, edge_id) AS rk FROM perturbed
+), reach(chrom, e0, rk0, start, node) AS (
+  SELECT chrom, edge_id, rk, u, u FROM ranked
+  UNION
+  SELECT r.chrom, r.e0, r.rk0, r.start, CASE WHEN k.u = r.node THEN k.v ELSE k.u END
+  FROM reach r JOIN ranked k ON k.chrom = r.chrom AND k.rk < r.rk0 AND (k.u = r.node OR k.v = r.node)
+), tree AS (
+  SELECT * FROM ranked k WHERE NOT EXISTS (SELECT 1 FROM reach r WHERE r.chrom = k.chrom AND r.e0 = k.edge_id AND r.node = k.v)
+)"""
+PLAIN = ", perturbed AS (SELECT 0 AS chrom, edge_id, u, v, d AS w, 0 AS wp FROM weighted)"
+PERTURBED = f""", perturbed AS (
+  SELECT chrom, edge_id, u, v, {gene('chrom', 'edge_id')} * d AS w, {gene('chrom', '(40 + edge_id)')} AS wp FROM weighted, chroms
+)"""
+MST_LABELS = f"""
+, kept AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY wp DESC, w, edge_id) AS cut FROM tree) WHERE cut > {K - 1}
+), linked(chrom, root, node) AS (
+  SELECT chrom, node_id, node_id FROM chroms, nodes
+  UNION
+  SELECT l.chrom, l.root, CASE WHEN k.u = l.node THEN k.v ELSE k.u END FROM linked l JOIN kept k ON k.chrom = l.chrom AND (k.u = l.node OR k.v = l.node)
+), lowest AS (
+  SELECT chrom, node, min(root) AS root FROM linked GROUP BY chrom, node
+), labels AS (
+  SELECT chrom, node AS node_id, dense_rank() OVER (PARTITION BY chrom ORDER BY root)::INTEGER AS region FROM lowest
+)"""
+FITNESS = """
+, fitness AS (
+  SELECT chrom, sum(s) AS f FROM (
+    SELECT chrom, region, var_pop(x[1]) * count(*) + var_pop(x[2]) * count(*) AS s FROM labels JOIN nodes USING (node_id) WHERE region > 0 GROUP BY chrom, region)
+  GROUP BY chrom
+)"""
+
+
+@query(with_nodes(PLAIN + TREE + " SELECT edge_id FROM tree", recursive=True))
+def mst_edges(spark, sf_dir):
+    nodes, edges = lattice(spark, sf_dir)
+    weights = features.edge_dissimilarity(nodes, edges).withColumnRenamed("d", "w")
+    return decoders.spanning_edges_native(weights, nodes.groupBy("instance").agg(F.count("*").cast("int").alias("n"))).select("edge_id")
+
+
+@query(
+    with_nodes(
+        """, part(root, node) AS (
+  SELECT node_id, node_id FROM nodes UNION
+  SELECT p.root, CASE WHEN l.u = p.node THEN l.v ELSE l.u END FROM part p JOIN lattice l ON l.v = l.u + 1 AND (l.u = p.node OR l.v = p.node)
+) SELECT node::INTEGER AS node_id, min(root)::INTEGER AS component FROM part GROUP BY node""",
+        recursive=True,
+    )
+)
+def connected_components(spark, sf_dir):
+    nodes, edges = fixtures.nation_rows(spark, sf_dir)
+    return decoders.connected_components(edges, nodes).select("node_id", "component")
+
+
+# -- decoders ----------------------------------------------------------------------------------------
+
+
+def labelled(decoded: DataFrame) -> DataFrame:
+    return decoded.select("chrom", F.posexplode("labels").alias("node_id", "region"))
+
+
+@query(with_nodes(PERTURBED + TREE + MST_LABELS + FITNESS + " SELECT node_id::INTEGER AS node_id, name, region, round(f, 2) AS f FROM labels JOIN nodes USING (node_id), fitness", recursive=True))
+def mst_partition(spark, sf_dir):
+    """Flagship: the nations in four connected regions, with the objective of the whole."""
+    nodes, edges = lattice(spark, sf_dir)
+    found = decoders.decode_mst_native(population(spark, "mst", 1), nodes, edges)
+    regions = found.select("run_id", "instance", F.posexplode("labels").alias("node_id", "region"))
+    f = partition.objective_centroid(regions, nodes)
+    return regions.join(f, "run_id").join(nodes.select("node_id", "name"), "node_id").select("node_id", "name", "region", F.round("f", 2).alias("f"))
+
+
+@query(with_nodes(PERTURBED + TREE + MST_LABELS + FITNESS + " SELECT chrom, round(f, 2) AS f FROM fitness", POPULATION, True))
+def mst_population_fitness(spark, sf_dir):
+    found = decoders.decode(population(spark, "mst"), *lattice(spark, sf_dir), "mst")
+    return found.select("chrom", F.round("f", 2).alias("f"))
+
+
+@query(with_nodes(PERTURBED + TREE + MST_LABELS + " SELECT chrom, node_id::INTEGER AS node_id, region FROM labels", POPULATION, True))
+def mst_population_labels(spark, sf_dir):
+    return labelled(decoders.decode_mst_native(population(spark, "mst"), *lattice(spark, sf_dir)))
+
+
+def shortest(chroms: int) -> str:
+    return with_nodes(
+        f""", perturbed AS (SELECT chrom, edge_id, u, v, {gene('chrom', 'edge_id')} * d AS w FROM weighted, chroms
+), ends AS (
+  SELECT chrom, u AS a, v AS b, w FROM perturbed UNION ALL SELECT chrom, v, u, w FROM perturbed
+), seeds AS (
+  SELECT chrom, node_id, rk AS region FROM (
+    SELECT chrom, node_id, row_number() OVER (PARTITION BY chrom ORDER BY {gene('chrom', '(40 + node_id)')}, node_id)::INTEGER AS rk FROM chroms, nodes) WHERE rk <= {K}
+), path(chrom, region, seed, node, len, hop) AS (
+  SELECT chrom, region, node_id, node_id, 0.0::DOUBLE, 0 FROM seeds
+  UNION ALL
+  SELECT p.chrom, p.region, any_value(p.seed), e.b, min(p.len + e.w), p.hop + 1 FROM path p JOIN ends e ON e.chrom = p.chrom AND e.a = p.node
+  WHERE p.hop < 24 GROUP BY p.chrom, p.region, e.b, p.hop
+), dist AS (
+  SELECT chrom, region, any_value(seed) AS seed, node AS node_id, min(len) AS len FROM path GROUP BY chrom, region, node
+), labels AS (
+  SELECT chrom, node_id, arg_min(region, struct_pack(len := len, region := region)) AS region FROM dist GROUP BY chrom, node_id
+)""",
+        chroms,
+        True,
+    )
+
+
+@query(shortest(1) + " SELECT region, seed::INTEGER AS seed, node_id::INTEGER AS node_id, round(len, 2) AS length FROM dist")
+def seed_distances(spark, sf_dir):
+    found = decoders.seed_distances(population(spark, "shortest", 1), *lattice(spark, sf_dir))
+    return found.select("region", "seed", "node_id", F.round("length", 2).alias("length"))
+
+
+@query(shortest(1) + " SELECT node_id::INTEGER AS node_id, region FROM labels")
+def st_partition(spark, sf_dir):
+    return labelled(decoders.decode(population(spark, "shortest", 1), *lattice(spark, sf_dir), "shortest")).select("node_id", "region")
+
+
+@query(shortest(POPULATION) + FITNESS + " SELECT chrom, round(f, 2) AS f FROM fitness")
+def st_population_fitness(spark, sf_dir):
+    found = decoders.decode(population(spark, "shortest"), *lattice(spark, sf_dir), "shortest")
+    return found.select("chrom", F.round("f", 2).alias("f"))
+
+
+def greedy(chroms: int) -> str:
+    """Growth as recursion over whole states: each step holds the regions and adds the cheapest element."""
+    place = "(i * 25 - i * (i + 1) // 2 + (j - i - 1))"
+    return with_nodes(
+        f""", near AS (
+  SELECT chrom, i AS a, j AS b, {gene('chrom', place)} * d AS m FROM pairs, chroms
+), both_ways AS (
+  SELECT chrom, a, b, m FROM near UNION ALL SELECT chrom, b, a, m FROM near
+), ends AS (
+  SELECT u AS a, v AS b FROM lattice UNION ALL SELECT v, u FROM lattice
+), seeds AS (
+  SELECT chrom, node_id, rk AS region FROM (
+    SELECT chrom, node_id, row_number() OVER (PARTITION BY chrom ORDER BY {gene('chrom', '(300 + node_id)')}, node_id)::INTEGER AS rk FROM chroms, nodes) WHERE rk <= {K}
+), grown(step, chrom, node, region, cost) AS (
+  SELECT 0, chrom, node_id, region, 0.0::DOUBLE FROM seeds
+  UNION ALL
+  SELECT * FROM (
+    WITH now AS (SELECT * FROM grown),
+    inner_pairs AS (
+      SELECT n.chrom, n.region, sum(w.m) / 2 AS s FROM now n JOIN now o ON o.chrom = n.chrom AND o.region = n.region
+      JOIN both_ways w ON w.chrom = n.chrom AND w.a = n.node AND w.b = o.node GROUP BY n.chrom, n.region),
+    size AS (SELECT chrom, region, count(*) AS c FROM now GROUP BY chrom, region),
+    open AS (
+      SELECT DISTINCT n.chrom, e.b AS v, n.region FROM now n JOIN ends e ON e.a = n.node
+      WHERE NOT EXISTS (SELECT 1 FROM now o WHERE o.chrom = n.chrom AND o.node = e.b)),
+    score AS (
+      SELECT o.chrom, o.v, o.region, (sum(w.m) - coalesce(any_value(p.s), 0) / any_value(z.c)) / (any_value(z.c) + 1) AS g
+      FROM open o JOIN now n ON n.chrom = o.chrom AND n.region = o.region JOIN both_ways w ON w.chrom = o.chrom AND w.a = n.node AND w.b = o.v
+      JOIN size z ON z.chrom = o.chrom AND z.region = o.region LEFT JOIN inner_pairs p ON p.chrom = o.chrom AND p.region = o.region
+      GROUP BY o.chrom, o.v, o.region),
+    best AS (
+      SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY g, region, v) AS rk FROM score) WHERE rk = 1)
+    SELECT n.step + 1, n.chrom, n.node, n.region, n.cost FROM now n JOIN best b ON b.chrom = n.chrom
+    UNION ALL
+    SELECT (SELECT max(step) FROM now) + 1, chrom, v, region, g FROM best
+  )
+), labels AS (
+  SELECT chrom, node AS node_id, region, cost FROM grown g WHERE step = 21
+)""",
+        chroms,
+        True,
+    )
+
+
+@query(greedy(1) + " SELECT node_id::INTEGER AS node_id, region FROM labels")
+def greedy_partition(spark, sf_dir):
+    return labelled(decoders.decode(population(spark, "greedy", 1), *lattice(spark, sf_dir), "greedy")).select("node_id", "region")
+
+
+@query(greedy(POPULATION) + FITNESS + " SELECT chrom, round(f, 2) AS f FROM fitness")
+def greedy_population_fitness(spark, sf_dir):
+    found = decoders.decode(population(spark, "greedy"), *lattice(spark, sf_dir), "greedy")
+    return found.select("chrom", F.round("f", 2).alias("f"))
+
+
+SPLIT = "CASE WHEN node_id % 5 < 2 THEN 1 WHEN node_id % 5 = 2 THEN NULL ELSE 2 END"
+
+
+def grown(spark, sf_dir) -> DataFrame:
+    """A partition in which the middle column has no region yet."""
+    nodes, _ = lattice(spark, sf_dir)
+    return nodes.select(F.lit("r").alias("run_id"), "instance", F.expr(SPLIT).alias("region"), "node_id").where("region IS NOT NULL")
+
+
+FEASIBLE = f""", given AS (SELECT node_id, {SPLIT} AS region FROM nodes), ends AS (SELECT u AS a, v AS b FROM lattice UNION ALL SELECT v, u FROM lattice
+), open AS (
+  SELECT DISTINCT f.node_id AS v, g.region FROM given f JOIN ends ON b = f.node_id JOIN given g ON g.node_id = a WHERE f.region IS NULL AND g.region IS NOT NULL
+)"""
+
+
+@query(with_nodes(FEASIBLE + " SELECT v::INTEGER AS node_id, region::INTEGER AS region FROM open"))
+def greedy_feasible(spark, sf_dir):
+    return partition_growth(spark, sf_dir).select("node_id", "region")
+
+
+@query(
+    with_nodes(
+        FEASIBLE
+        + """, after AS (
+  SELECT o.v, o.region, sum(q) AS f FROM (
+    SELECT o.v, o.region, var_pop(x[t]) * count(*) AS q FROM open o, (SELECT unnest([1, 2]) AS t), nodes n
+    WHERE n.node_id = o.v OR n.node_id IN (SELECT node_id FROM given g WHERE g.region = o.region) GROUP BY o.v, o.region, t) o GROUP BY o.v, o.region
+), before AS (
+  SELECT region, sum(q) AS f FROM (SELECT region, t, var_pop(x[t]) * count(*) AS q FROM given JOIN nodes USING (node_id), (SELECT unnest([1, 2]) AS t) WHERE region IS NOT NULL GROUP BY region, t) GROUP BY region
+) SELECT v::INTEGER AS node_id, a.region::INTEGER AS region, round(a.f - b.f, 2) AS g FROM after a JOIN before b ON a.region = b.region"""
+    )
+)
+def greedy_scores(spark, sf_dir):
+    """Scores from distances alone; the SQL takes the difference of two objectives."""
+    return partition_growth(spark, sf_dir).select("node_id", "region", F.round("g", 2).alias("g"))
+
+
+def partition_growth(spark, sf_dir) -> DataFrame:
+    nodes, edges = lattice(spark, sf_dir)
+    return partition.feasible_elements(grown(spark, sf_dir), features.pairwise_dissimilarity(nodes), features.adjacency(edges))
+
+
+@query(with_nodes(PERTURBED + TREE + MST_LABELS + f" SELECT chrom, {K}::INTEGER AS regions, {K}::INTEGER AS parts FROM chroms", POPULATION, True))
+def contiguity_check(spark, sf_dir):
+    nodes, edges = lattice(spark, sf_dir)
+    found = decoders.decode_mst_native(population(spark, "mst"), nodes, edges)
+    return decoders.region_components(found, edges).select("chrom", "regions", "parts")
+
+
+# -- partitions --------------------------------------------------------------------------------------
+
+
+def by_region(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    nodes, _ = fixtures.embedding_ring(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").cast("int").alias("node_id"), (F.col("label") + 1).alias("region"))
+    return nodes, labels.select(F.lit("r").alias("run_id"), F.lit("embedding_ring").alias("instance"), "region", "node_id")
+
+
+CENTROID = """SELECT round(sum(s), 6) AS f FROM (
+  SELECT label, t, var_pop(embedding[t]::DOUBLE) * count(*) AS s FROM embeddings, (SELECT unnest(range(1, 65)) AS t) GROUP BY label, t)"""
+PAIRWISE = """WITH d AS (
+  SELECT a.label, list_sum([(a.embedding[t]::DOUBLE - b.embedding[t]::DOUBLE) ** 2 FOR t IN range(1, 65)]) AS d
+  FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id
+) SELECT round(sum(s), 6) AS f FROM (SELECT label, sum(d) / (SELECT count(*) FROM embeddings e WHERE e.label = d.label) AS s FROM d GROUP BY label)"""
+
+
+@query(CENTROID)
+def objective_pairwise(spark, sf_dir):
+    nodes, regions = by_region(spark, sf_dir)
+    return partition.objective_pairwise(regions, features.pairwise_dissimilarity(nodes)).select(F.round("f", 6).alias("f"))
+
+
+@query(PAIRWISE)
+def objective_centroid(spark, sf_dir):
+    nodes, regions = by_region(spark, sf_dir)
+    return partition.objective_centroid(regions, nodes).select(F.round("f", 6).alias("f"))
+
+
+@query(
+    """SELECT r::INTEGER AS region, coalesce(string_agg(n_nationkey, ',' ORDER BY n_nationkey) FILTER (n_nationkey IS NOT NULL), '') AS nodes
+  FROM range(1, 7) t(r) LEFT JOIN nation ON n_regionkey + 1 = r AND n_regionkey < 4 GROUP BY r"""
+)
+def labels_to_regions(spark, sf_dir):
+    """Region 5 of 6 gets only labels that are out of range here, region 6 none at all."""
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    label = F.when(F.col("n_regionkey") < 4, F.col("n_regionkey") + 1).otherwise(99)
+    labels = nations.agg(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", label.alias("l")))), lambda s: s["l"].cast("int")).alias("labels"))
+    found = partition.labels_to_regions(labels.select(F.lit("r").alias("run_id"), F.lit(6).alias("k"), "labels"))
+    return found.select("region", F.concat_ws(",", F.col("nodes").cast("array<string>")).alias("nodes"))
+
+
+@query("SELECT r::INTEGER AS node_id, coalesce(n_regionkey + 1, -1)::INTEGER AS region FROM range(30) t(r) LEFT JOIN nation ON n_nationkey = r")
+def node_region_lookup(spark, sf_dir):
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    regions = nations.select(F.lit("r").alias("run_id"), (F.col("n_regionkey") + 1).cast("int").alias("region"), F.col("n_nationkey").alias("node_id"))
+    wanted = spark.range(30).select(F.lit("r").alias("run_id"), F.col("id").cast("int").alias("node_id"))
+    return partition.node_region(regions, wanted).select("node_id", F.coalesce("region", F.lit(-1)).alias("region"))
+
+
+def nation_regions(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    nodes, _ = lattice(spark, sf_dir)
+    return nodes, nodes.select(F.lit("r").alias("run_id"), "instance", (F.col("node_id") % 5 + 1).alias("region"), "node_id")
+
+
+@query("SELECT (n_nationkey % 5 + 1)::INTEGER AS region, string_agg(n_name, ',' ORDER BY n_nationkey) AS names FROM nation GROUP BY n_nationkey % 5")
+def region_names(spark, sf_dir):
+    nodes, regions = nation_regions(spark, sf_dir)
+    return partition.region_names(regions, nodes).select("region", F.concat_ws(",", "names").alias("names"))
+
+
+@query(
+    """SELECT '{' || string_agg('"' || r || '":[' || names || ']', ',' ORDER BY r) || '}' AS value FROM (
+  SELECT n_nationkey % 5 + 1 AS r, string_agg('"' || n_name || '"', ',' ORDER BY n_nationkey) AS names FROM nation GROUP BY n_nationkey % 5)"""
+)
+def partition_json(spark, sf_dir):
+    nodes, regions = nation_regions(spark, sf_dir)
+    return tables.partition_json(partition.region_names(regions, nodes)).select("value")
+
+
+@query(
+    "SELECT n_nationkey::INTEGER AS node_id, n_name AS name, (n_nationkey % 5 + 1)::INTEGER AS region, CASE n_nationkey % 5 "
+    + " ".join(f"WHEN {r - 1} THEN '{c}'" for r, c in partition.palette(5).items())
+    + " END AS color FROM nation"
+)
+def map_colors(spark, sf_dir):
+    nodes, regions = nation_regions(spark, sf_dir)
+    return partition.map_colors(regions, nodes, 5).drop("run_id")
+
+
+# -- genetic search ----------------------------------------------------------------------------------
+
+
+@query(f"SELECT c::INTEGER AS chrom, g::INTEGER AS gene, round({gene('c', 'g')}, 9) AS value FROM range({POPULATION}) a(c), range(80) b(g)")
+def initial_population(spark, sf_dir):
+    return population(spark, "mst").select("chrom", F.posexplode("genes").alias("gene", "value")).withColumn("value", F.round("value", 9))
+
+
+E_, O_ = CONFIG.elite, CONFIG.offspring
+
+
+def drawn(place: str) -> str:
+    return key_sql(str(SEED), place_sql("1", "c", place))
+
+
+# A stand-in for fitness, so that selection is tested apart from decoding: key 0 of each chromosome.
+CHILDREN = f"""
+WITH first AS (
+  SELECT c, row_number() OVER (ORDER BY {gene('c', '0')}, c) AS rk FROM range({POPULATION}) t(c)
+), child AS (
+  SELECT c, floor({drawn(str(ELITE_DRAW))} * {E_})::INTEGER + 1 AS a, floor({drawn(str(OTHER_DRAW))} * {POPULATION - E_})::INTEGER + {E_ + 1} AS b FROM range({E_}, {E_ + O_}) t(c)
+), crossed AS (
+  SELECT child.c::INTEGER AS chrom, g::INTEGER AS gene,
+         CASE WHEN {drawn(f'({CROSS_DRAW} + g)').replace(' c)', ' child.c)')} <= {CONFIG.crossover_rate} THEN {gene('x.c', 'g')} ELSE {gene('y.c', 'g')} END AS value
+  FROM child JOIN first x ON x.rk = a JOIN first y ON y.rk = b, range(80) t(g)
+)"""
+
+
+def stand_in(spark) -> DataFrame:
+    return population(spark, "mst").withColumn("f", F.col("genes")[0])
+
+
+@query(CHILDREN + " SELECT chrom, gene, round(value, 9) AS value FROM crossed")
+def ga_crossover_step(spark, sf_dir):
+    children = search.crossover(search.ranked(stand_in(spark)), CONFIG, 1)
+    return children.select("chrom", F.posexplode("genes").alias("gene", "value")).withColumn("value", F.round("value", 9))
+
+
+@query(f"SELECT c::INTEGER AS chrom, row_number() OVER (ORDER BY {gene('c', '0')}, c)::INTEGER AS rank, row_number() OVER (ORDER BY {gene('c', '0')}, c) <= {E_} AS elite FROM range({POPULATION}) t(c)")
+def ga_elite(spark, sf_dir):
+    return search.ranked(stand_in(spark)).select("chrom", "rank", (F.col("rank") <= E_).alias("elite"))
+
+
+@query(f"SELECT c::INTEGER AS chrom, g::INTEGER AS gene, round({drawn('g')}, 9) AS value FROM range({E_ + O_}, {POPULATION}) a(c), range(80) b(g)")
+def ga_mutants(spark, sf_dir):
+    found = search.random_chromosomes(runs(spark, "mst"), E_ + O_, CONFIG.mutants, 1)
+    return found.select("chrom", F.posexplode("genes").alias("gene", "value")).withColumn("value", F.round("value", 9))
+
+
+# A whole step: the population of generation 1 and its fitness, decoded in SQL from SQL's own children.
+NEXT = (
+    with_nodes(PERTURBED + TREE + MST_LABELS + FITNESS, POPULATION, True)
+    + f"""
+, first AS (SELECT chrom AS c, f, row_number() OVER (ORDER BY f, chrom) AS rk FROM fitness)
+, child AS (
+  SELECT c, floor({drawn(str(ELITE_DRAW))} * {E_})::INTEGER + 1 AS a, floor({drawn(str(OTHER_DRAW))} * {POPULATION - E_})::INTEGER + {E_ + 1} AS b FROM range({E_}, {E_ + O_}) t(c)
+) SELECT (rk - 1)::INTEGER AS chrom, 0::INTEGER AS elite_rank, 0::INTEGER AS other_rank, round(f, 2) AS elite_f FROM first WHERE rk <= {E_}
+UNION ALL SELECT c::INTEGER, a, b, NULL FROM child
+UNION ALL SELECT c::INTEGER, -1, -1, NULL FROM range({E_ + O_}, {POPULATION}) t(c)"""
+)
+
+
+@query(NEXT)
+def ga_next_generation(spark, sf_dir):
+    """Who makes up generation 1: the elite with their cached fitness, children with their parents' ranks, mutants."""
+    nodes, edges = lattice(spark, sf_dir)
+    first = search.with_fitness(population(spark, "mst"), nodes, edges, "mst")
+    order = search.ranked(first)
+    none = F.lit(-1)
+    elite = order.where(F.col("rank") <= E_).select((F.col("rank") - 1).alias("chrom"), F.lit(0).alias("elite_rank"), F.lit(0).alias("other_rank"), F.round("f", 2).alias("elite_f"))
+    children = search.crossover(order, CONFIG, 1).select("chrom", "elite_rank", "other_rank", F.lit(None).cast("double").alias("elite_f"))
+    mutants = search.random_chromosomes(runs(spark, "mst"), E_ + O_, CONFIG.mutants, 1).select("chrom", none.alias("elite_rank"), none.alias("other_rank"), F.lit(None).cast("double").alias("elite_f"))
+    return elite.unionByName(children).unionByName(mutants)
+
+
+@query(
+    with_nodes(PERTURBED + TREE + MST_LABELS + FITNESS, POPULATION, True)
+    + f""" SELECT round(avg(f), 2) AS mean, round(stddev_pop(f), 2) AS std, round(min(f), 2) AS min, round(quantile_cont(f, 0.1), 2) AS q10, round(quantile_cont(f, 0.25), 2) AS q25,
+  round(quantile_cont(f, 0.5), 2) AS median, round(quantile_cont(f, 0.75), 2) AS q75, round(quantile_cont(f, 0.9), 2) AS q90, round(quantile_cont(f, {E_ / POPULATION}), 2) AS elite_cutoff FROM fitness"""
+)
+def population_statistics(spark, sf_dir):
+    scored = search.with_fitness(population(spark, "mst"), *lattice(spark, sf_dir), "mst")
+    return search.population_statistics(scored, CONFIG).select(*(F.round(c, 2).alias(c) for c in STATS))
+
+
+def minima(spark, sf_dir) -> DataFrame:
+    """A series of minima per event type from the events: the running minimum of values by hour of the day."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    hourly = events.groupBy(F.col("event_type").alias("run_id"), F.hour("ts").alias("generation")).agg(F.min("value").alias("low"))
+    from pyspark.sql import Window
+
+    upto = Window.partitionBy("run_id").orderBy("generation").rowsBetween(Window.unboundedPreceding, 0)
+    return hourly.select("run_id", "generation", F.min("low").over(upto).alias("min"))
+
+
+MINIMA = """minima AS (
+  SELECT run_id, generation, min(low) OVER (PARTITION BY run_id ORDER BY generation) AS low FROM (
+    SELECT event_type AS run_id, hour(ts)::INTEGER AS generation, min(value) AS low FROM events GROUP BY 1, 2)
+)"""
+
+
+@query(
+    f"""WITH {MINIMA}, d AS (SELECT *, round(low, 4) - lag(round(low, 4)) OVER (PARTITION BY run_id ORDER BY generation) < 0 AS fell FROM minima)
+SELECT run_id, max(generation) AS last_gen, coalesce(max(generation) FILTER (fell), 0)::INTEGER AS improved_at, round(min(low), 6) AS best FROM d GROUP BY run_id"""
+)
+def last_improvement(spark, sf_dir):
+    return search.last_improvement(minima(spark, sf_dir)).withColumns(six("best"))
+
+
+@query(
+    f"""WITH RECURSIVE {MINIMA}, n AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY generation) AS i FROM minima
+), walk(run_id, i, best, stale, stopped_at) AS (
+  SELECT run_id, i, low, 0, NULL::INTEGER FROM n WHERE i = 1
+  UNION ALL
+  SELECT w.run_id, n.i, CASE WHEN w.stopped_at IS NULL AND n.low + 1e-4 < w.best THEN n.low ELSE w.best END,
+         CASE WHEN n.low + 1e-4 < w.best THEN 0 ELSE w.stale + 1 END,
+         CASE WHEN w.stopped_at IS NOT NULL THEN w.stopped_at WHEN NOT (n.low + 1e-4 < w.best) AND w.stale + 1 >= 4 THEN n.generation END
+  FROM walk w JOIN n ON n.run_id = w.run_id AND n.i = w.i + 1
+) SELECT run_id, round(arg_max(best, i), 6) AS best, arg_max(coalesce(stopped_at, -1), i)::INTEGER AS stopped_at FROM walk GROUP BY run_id"""
+)
+def tolerance_stop(spark, sf_dir):
+    found = search.tolerance_stop(minima(spark, sf_dir), 4)
+    return found.select("run_id", F.round("best", 6).alias("best"), F.coalesce("stopped_at", F.lit(-1)).alias("stopped_at"))
+
+
+def ga_invariants(spark, sf_dir, method: str) -> DataFrame:
+    """A whole search by the DataFrame plan and by the kernel: both must agree and never get worse."""
+    nodes, edges = lattice(spark, sf_dir)
+    last, statistics = search.run_plan(runs(spark, method), nodes, edges, CONFIG, method)
+    plan = last.groupBy("run_id").agg(F.min("f").alias("f"))
+    name = next(h for h, m in batch.GENETIC.items() if m == method)
+    tasks = spark.createDataFrame([("r0", "nation_lattice", K, SEED, name)], "run_id string, instance string, k int, seed int, heuristic string")
+    kernel = batch.run_tasks(tasks, nodes, edges, CONFIG)
+    from pyspark.sql import Window
+
+    rose = statistics.withColumn("rose", F.col("min") > F.lag("min").over(Window.partitionBy("run_id").orderBy("generation")) + 1e-9)
+    worse = rose.groupBy("run_id").agg(F.count_if("rose").alias("worse"), F.count("*").alias("generations"))
+    both = plan.join(kernel.select("run_id", F.col("f").alias("g"), "labels"), "run_id").join(worse, "run_id")
+    return both.select(
+        F.lit(method).alias("method"), "generations", "worse", (F.abs(F.col("f") - F.col("g")) < 1e-6 * F.col("f")).alias("agree"),
+        F.size(F.array_distinct("labels")).alias("regions"),
+    )
+
+
+def _ga(method: str, name: str) -> None:
+    def f(spark, sf_dir):
+        return ga_invariants(spark, sf_dir, method)
+
+    f.__name__ = name
+    query(f"SELECT '{method}' AS method, {CONFIG.max_generations + 1}::BIGINT AS generations, 0::BIGINT AS worse, true AS agree, {K}::INTEGER AS regions")(f)
+
+
+_ga("mst", "ga_run_mst")
+_ga("shortest", "ga_run_st")
+_ga("greedy", "ga_run_greedy")
+
+
+@query(f"SELECT series, count(*) AS points FROM (SELECT unnest(['q25', 'q75', 'mean', 'median', 'elite_cutoff', 'min']) AS series), range({CONFIG.max_generations + 1}) GROUP BY series")
+def evolution_series(spark, sf_dir):
+    nodes, edges = lattice(spark, sf_dir)
+    tasks = spark.createDataFrame([("r0", "nation_lattice", K, SEED, "brkga_mst")], "run_id string, instance string, k int, seed int, heuristic string")
+    series = search.evolution_series(search.statistics_of(batch.run_tasks(tasks, nodes, edges, CONFIG)))
+    return series.groupBy("series").agg(F.count("value").alias("points"))
+
+
+# -- classic heuristics ------------------------------------------------------------------------------
+
+
+def classic_partition(spark, sf_dir, heuristic: str) -> DataFrame:
+    """Facts that must hold on a 5 x 25 grid: all nodes in K connected regions, and no worse than the start."""
+    nodes, edges = fixtures.segment_nation(spark, sf_dir)
+    tasks = spark.createDataFrame([("r0", "segment_nation", K, SEED, heuristic)], "run_id string, instance string, k int, seed int, heuristic string")
+    found = batch.run_tasks(tasks, nodes, edges, CONFIG)
+    parts = decoders.region_components(found.select("run_id", F.lit(0).alias("chrom"), "instance", "labels"), edges)
+    whole = partition.objective_centroid(nodes.select(F.lit("r0").alias("run_id"), "instance", F.lit(1).alias("region"), "node_id"), nodes).withColumnRenamed("f", "whole")
+    return found.join(parts, "run_id").join(whole, "run_id").select("heuristic", "n", "regions", "parts", (F.col("f") < F.col("whole")).alias("better"))
+
+
+def _classic(heuristic: str) -> None:
+    def f(spark, sf_dir):
+        return classic_partition(spark, sf_dir, heuristic)
+
+    f.__name__ = f"{heuristic}_partition"
+    query(
+        f"""SELECT '{heuristic}' AS heuristic, (SELECT count(*) FROM (SELECT DISTINCT c_mktsegment, c_nationkey FROM customer))::INTEGER AS n, {K}::INTEGER AS regions, {K}::INTEGER AS parts, true AS better"""
+    )(f)
+
+
+for _name in CLASSIC:
+    _classic(_name)
+
+
+# -- batch -------------------------------------------------------------------------------------------
+
+IDS = """sizes AS (
+  SELECT 'nation_lattice' AS instance, count(*)::INTEGER AS n FROM nation
+  UNION ALL SELECT 'segment_nation', count(*)::INTEGER FROM (SELECT DISTINCT c_mktsegment, c_nationkey FROM customer)
+), ids AS (
+  SELECT instance, n, k::INTEGER AS k, r::INTEGER AS repetition, instance || '__' || k || '__' || r AS id
+  FROM (SELECT *, unnest(CASE WHEN n < 20 THEN [3, 5, 7] WHEN n < 60 THEN [5, 7, 10] ELSE [10, 15, 20] END) AS k FROM sizes), range(3) t(r) WHERE k < n
+)"""
+
+
+def two_instances(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    (a, b), (c, d) = lattice(spark, sf_dir), fixtures.segment_nation(spark, sf_dir)
+    return a.unionByName(c), b.unionByName(d)
+
+
+def execution_table(spark, sf_dir) -> DataFrame:
+    return batch.execution_ids(two_instances(spark, sf_dir)[0])
+
+
+@query("SELECT n::INTEGER AS n, k::INTEGER AS k FROM (SELECT n, unnest(CASE WHEN n < 20 THEN [3, 5, 7] WHEN n < 60 THEN [5, 7, 10] ELSE [10, 15, 20] END) AS k FROM range(2, 80) t(n)) WHERE k < n")
+def k_schedule(spark, sf_dir):
+    return spark.range(2, 80).select(F.col("id").cast("int").alias("n")).select("n", F.explode(batch.k_schedule(F.col("n"))).alias("k"))
+
+
+@query(f"WITH {IDS} SELECT * FROM ids")
+def execution_ids(spark, sf_dir):
+    return execution_table(spark, sf_dir)
+
+
+@query(f"WITH {IDS} SELECT id, instance, k, repetition FROM ids")
+def id_parsing(spark, sf_dir):
+    return batch.parse_ids(execution_table(spark, sf_dir))
+
+
+@query(f"WITH {IDS} SELECT id FROM ids EXCEPT SELECT id FROM ids WHERE repetition = 1")
+def pending_ids(spark, sf_dir):
+    ids = execution_table(spark, sf_dir)
+    return batch.pending(ids, ids.where("repetition = 1")).select("id")
+
+
+@query(f"WITH {IDS} SELECT 9::BIGINT AS n_heuristics, (SELECT count(*) FROM sizes) AS n_instances, 3::BIGINT AS n_repetitions, (SELECT count(*) FROM ids) AS n_ids")
+def batch_overview(spark, sf_dir):
+    nodes, _ = two_instances(spark, sf_dir)
+    return batch.overview(nodes, batch.execution_ids(nodes), list(batch.HEURISTICS), 3)
+
+
+@query(
+    f"""WITH {IDS} SELECT id, k, h AS heuristic, k AS regions, h LIKE 'brkga%' AS has_last_gen FROM ids, (SELECT unnest({list(batch.HEURISTICS)}) AS h)
+  WHERE instance = 'nation_lattice' AND repetition = 0"""
+)
+def batch_run(spark, sf_dir):
+    """All nine heuristics on the executions of one instance that have no results yet."""
+    nodes, edges = lattice(spark, sf_dir)
+    ids = batch.execution_ids(nodes)
+    config = search.SearchConfig(population_size=20, max_generations=3, max_time=None)
+    done = batch.run_batch(ids, nodes, edges, config, results=ids.where("repetition > 0"))
+    return done.select("id", "k", "heuristic", F.size(F.array_distinct("labels")).alias("regions"), F.col("last_gen").isNotNull().alias("has_last_gen"))
+
+
+# -- analysis ----------------------------------------------------------------------------------------
+
+RESULTS = "results AS (SELECT user_id::VARCHAR AS id, event_type AS heuristic, avg(value) AS f, max(value) AS time_s FROM events GROUP BY 1, 2)"
+SHIFTED = "results AS (SELECT user_id::VARCHAR AS id, event_type AS heuristic, avg(value) + 5 * length(event_type) AS f, max(value) AS time_s FROM events GROUP BY 1, 2)"
+
+
+def ranked_sql(source: str, places: int = 8, metric: str = "f") -> str:
+    return f"""WITH {source}, r AS (
+  SELECT id, heuristic, {metric} AS f, rank() OVER (PARTITION BY id ORDER BY round_even({metric}, {places})) + (count(*) OVER (PARTITION BY id, round_even({metric}, {places})) - 1) / 2 AS rank FROM results
+)"""
+
+
+@query(ranked_sql(RESULTS) + " SELECT id, heuristic, rank::DOUBLE AS rank FROM r")
+def heuristic_ranks(spark, sf_dir):
+    return analysis.ranks(fixtures.event_results(spark, sf_dir)).select("id", "heuristic", "rank")
+
+
+@query(ranked_sql(RESULTS) + " SELECT heuristic, count(*) FILTER (rank = best) AS wins FROM (SELECT *, min(rank) OVER (PARTITION BY id) AS best FROM r) GROUP BY heuristic")
+def heuristic_wins(spark, sf_dir):
+    return analysis.wins(fixtures.event_results(spark, sf_dir))
+
+
+@query(f"WITH {RESULTS} SELECT heuristic, round(avg(f), 6) AS mean FROM results GROUP BY heuristic")
+def mean_objective(spark, sf_dir):
+    return analysis.mean_values(fixtures.event_results(spark, sf_dir)).withColumns(six("mean"))
+
+
+@query(
+    ranked_sql(RESULTS)
+    + """ SELECT heuristic, round(avg(f), 6) AS mean_f, round(avg(rank), 6) AS mean_rank, count(*) FILTER (rank = best) AS wins
+  FROM (SELECT *, min(rank) OVER (PARTITION BY id) AS best FROM r) GROUP BY heuristic"""
+)
+def heuristic_summary(spark, sf_dir):
+    return analysis.summary(fixtures.event_results(spark, sf_dir)).withColumns(six("mean_f", "mean_rank"))
+
+
+def friedman_sql(source: str, metric: str) -> str:
+    """The variance form of the statistic; the engine uses sums of squared rank sums with a tie correction."""
+    return (
+        ranked_sql(source, 5, metric)
+        + """, s AS (SELECT heuristic, sum(rank) AS s, count(*) AS n FROM r GROUP BY heuristic), z AS (SELECT count(DISTINCT id) AS n, count(DISTINCT heuristic) AS k FROM r
+), q AS (
+  SELECT any_value(z.n) AS n, any_value(z.k) AS k, (any_value(z.k) - 1) * sum((s.s - z.n * (z.k + 1) / 2) ** 2) / ((SELECT sum(rank * rank) FROM r) - any_value(z.n * z.k * (z.k + 1) ** 2) / 4) AS statistic FROM s, z
+) SELECT n, k, round(statistic, 6) AS statistic, round(exp(-statistic / 2) * (1 + statistic / 2), 6) AS p FROM q"""
+    )
+
+
+@query(friedman_sql(RESULTS, "f"))
+def friedman_f(spark, sf_dir):
+    return analysis.friedman(fixtures.event_results(spark, sf_dir)).withColumns(six("statistic", "p"))
+
+
+@query(friedman_sql(RESULTS, "time_s"))
+def friedman_time(spark, sf_dir):
+    return analysis.friedman(fixtures.event_results(spark, sf_dir), "time_s").withColumns(six("statistic", "p"))
+
+
+# Upper 0.1 %, 1 % and 5 % points of the studentized range of five with infinite degrees of freedom.
+RANGE_POINTS = (5.484, 4.603, 3.858)
+NEMENYI = (
+    ranked_sql(SHIFTED, 5)
+    + """, m AS (SELECT heuristic, avg(rank) AS mr, count(*) AS n FROM r GROUP BY heuristic), z AS (SELECT count(*) AS k FROM m
+), p AS (
+  SELECT a.heuristic AS a, b.heuristic AS b, a.mr AS ra, b.mr AS rb, abs(a.mr - b.mr) / sqrt(k * (k + 1) / (6.0 * a.n)) AS q FROM m a JOIN m b ON a.heuristic < b.heuristic, z
+), l AS (
+  SELECT *, CASE WHEN q * sqrt(2) > """
+    + f"{RANGE_POINTS[0]} THEN '***' WHEN q * sqrt(2) > {RANGE_POINTS[1]} THEN '**' WHEN q * sqrt(2) > {RANGE_POINTS[2]} THEN '*' ELSE 'ns' END AS level FROM p)"
+)
+
+
+@query(NEMENYI + " SELECT a, b, round(q, 6) AS q, level FROM l")
+def nemenyi_pairs(spark, sf_dir):
+    return analysis.nemenyi(fixtures.event_results(spark, sf_dir, True)).select("a", "b", F.round("q", 6).alias("q"), "level")
+
+
+@query(NEMENYI + " SELECT a, round(ra, 6) AS rank_a, b, round(rb, 6) AS rank_b FROM l WHERE level = 'ns'")
+def critical_difference(spark, sf_dir):
+    return analysis.critical_difference(fixtures.event_results(spark, sf_dir, True)).withColumns(six("rank_a", "rank_b"))
+
+
+@query("SELECT 0::BIGINT AS pairs")
+def nemenyi_gate(spark, sf_dir):
+    """No pairs where the Friedman test isn't significant: here all values tie."""
+    tied = fixtures.event_results(spark, sf_dir).withColumn("f", F.lit(1.0))
+    return analysis.nemenyi(tied).agg(F.count("*").alias("pairs"))
+
+
+def boxplot_sql(metric: str) -> str:
+    return f"""WITH {RESULTS}, b AS (
+  SELECT heuristic, quantile_cont({metric}, 0.25) AS q1, quantile_cont({metric}, 0.5) AS median, quantile_cont({metric}, 0.75) AS q3 FROM results GROUP BY heuristic
+), i AS (
+  SELECT b.*, {metric} AS v, {metric} BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) AS inside FROM results JOIN b USING (heuristic)
+) SELECT heuristic, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, round(min(v) FILTER (inside), 6) AS low, round(max(v) FILTER (inside), 6) AS high,
+  count(*) FILTER (NOT inside) AS outliers FROM i GROUP BY heuristic, q1, median, q3"""
+
+
+@query(boxplot_sql("f"))
+def boxplot_objective(spark, sf_dir):
+    return analysis.boxplot(fixtures.event_results(spark, sf_dir), "f").withColumns(six("q1", "median", "q3", "low", "high"))
+
+
+@query(boxplot_sql("time_s"))
+def boxplot_time(spark, sf_dir):
+    return analysis.boxplot(fixtures.event_results(spark, sf_dir), "time_s").withColumns(six("q1", "median", "q3", "low", "high"))
+
+
+def wide_events(spark, sf_dir) -> DataFrame:
+    """Event results under the names of three heuristics, as the wide table of an experiment."""
+    names = {"click": "brkga_mst", "error": "skater", "view": "schc"}
+    rows = fixtures.event_results(spark, sf_dir)
+    known = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
+    rows = rows.withColumn("heuristic", F.try_element_at(known, F.col("heuristic"))).where("heuristic IS NOT NULL")
+    rows = rows.select("id", F.lit(25).alias("n"), F.lit(K).alias("k"), "heuristic", "f", "time_s", F.when(F.col("heuristic") == "brkga_mst", F.lit(9)).alias("last_gen"))
+    return batch.results_wide(rows, sorted(names.values()))
+
+
+WIDE = (
+    f"WITH {RESULTS}, w AS (SELECT id AS \"ID\", 25::INTEGER AS \"N\", {K}::INTEGER AS \"K\", "
+    + ", ".join(f"max({m}) FILTER (heuristic = '{e}') AS {h}__{c}" for m, c in (("f", "f"), ("time_s", "time")) for h, e in (("brkga_mst", "click"), ("schc", "view"), ("skater", "error")))
+    + ", max(9) FILTER (heuristic = 'click') AS brkga_mst__last_gen FROM results WHERE heuristic IN ('click', 'error', 'view') GROUP BY id)"
+)
+
+
+@query(WIDE + " SELECT * REPLACE (round(brkga_mst__f, 6) AS brkga_mst__f, round(schc__f, 6) AS schc__f, round(skater__f, 6) AS skater__f) FROM w")
+def results_wide(spark, sf_dir):
+    return wide_events(spark, sf_dir).withColumns(six("brkga_mst__f", "schc__f", "skater__f"))
+
+
+@query(WIDE + " UNION ALL ".join(f" SELECT \"ID\", '{h}' AS heuristic, round({h}__f, 6) AS value FROM w" for h in ("brkga_mst", "schc", "skater")))
+def results_long(spark, sf_dir):
+    return batch.results_long(wide_events(spark, sf_dir), "f").withColumns(six("value"))
