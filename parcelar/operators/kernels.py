@@ -98,11 +98,17 @@ def seeds(node_keys: np.ndarray, k: int) -> np.ndarray:
 
 
 def decode_shortest(graph: Graph, k: int, genes: np.ndarray) -> np.ndarray:
-    """Each node joins its nearest seed by perturbed path length; ties and no path at all go to the lowest region."""
-    weight = (genes[: graph.m] * graph.d).tolist()
+    """Each node joins its nearest seed by perturbed path length; ties and no path at all go to the lowest region.
+
+    Where weights are zero a seed may be as near to a lower seed, and its own region stays empty.
+    """
+    return nearest_seeds(graph, k, (genes[: graph.m] * graph.d).tolist(), genes[graph.m :])
+
+
+def nearest_seeds(graph: Graph, k: int, weight: list[float], node_keys: np.ndarray) -> np.ndarray:
     best = [(np.inf, 1)] * graph.n
     queue = []
-    for region, s in enumerate(seeds(genes[graph.m :], k).tolist(), 1):
+    for region, s in enumerate(seeds(node_keys, k).tolist(), 1):
         best[s] = (0.0, region)
         queue.append((0.0, region, s))
     heapq.heapify(queue)
