@@ -2,6 +2,7 @@ import os
 import sys
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import SparkSession
 
@@ -37,7 +38,7 @@ def same_as_sql():
 
     def plain(frame, columns):
         frame = frame[columns].astype(object)
-        return sorted(tuple(None if v is None or v != v else str(v) for v in row) for row in frame.itertuples(index=False))
+        return sorted(tuple(None if pd.isna(v) else str(v) for v in row) for row in frame.itertuples(index=False))
 
     def check(result, sql):
         got, want = result.toPandas(), connection.sql(sql).df()
