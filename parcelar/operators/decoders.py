@@ -70,11 +70,14 @@ def _decode(method: str):
     return kernel
 
 
-def decode(population: DataFrame, nodes: DataFrame, edges: DataFrame, method: str) -> DataFrame:
-    """``run_id, instance, k, generation, chrom, labels, f``; label 0 for nodes that greedy growth can't reach."""
+def decode(population: DataFrame, nodes: DataFrame, edges: DataFrame, method: str, graphs: DataFrame | None = None) -> DataFrame:
+    """``run_id, instance, k, generation, chrom, labels, f``; label 0 for nodes that greedy growth can't reach.
+
+    ``graphs`` are the rows of :func:`graph_rows` where they are at hand already.
+    """
     if method not in DECODERS:
         raise ValueError(f"unknown decoder {method!r}")
-    joined = population.join(near(graph_rows(nodes, edges)), "instance")
+    joined = population.join(graphs if graphs is not None else near(graph_rows(nodes, edges)), "instance")
     columns = joined.select("run_id", "instance", "k", "generation", "chrom", "genes", "n", "xs", "us", "vs")
     return columns.mapInArrow(_decode(method), "run_id string, instance string, k int, generation int, chrom int, labels array<int>, f double")
 

@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import time
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelar.functions.keys import CROSS_DRAW, ELITE_DRAW, OTHER_DRAW, key_sql, keys, place_sql
-from parcelar.operators.decoders import decode
+from parcelar.operators.decoders import decode, graph_rows, near
 from parcelar.operators.kernels import DECODERS, Graph, chromosome_length, objective
 from parcelar.plans.state import checkpoint
 
@@ -92,7 +93,9 @@ def crossover(ranked_population: DataFrame, config: SearchConfig, generation: in
     return both.select("run_id", "instance", "k", "seed", "generation", "chrom", F.expr(genes).alias("genes"), "elite_rank", "other_rank")
 
 
-def next_generation(population: DataFrame, nodes: DataFrame, edges: DataFrame, config: SearchConfig, method: str, generation: int) -> DataFrame:
+def next_generation(
+    population: DataFrame, nodes: DataFrame, edges: DataFrame, config: SearchConfig, method: str, generation: int, graphs: DataFrame | None = None
+) -> DataFrame:
     """The following population with f: elite as they are, children and mutants decoded anew."""
     order = ranked(population)
     elite = order.where(F.col("rank") <= config.elite).select(
@@ -102,12 +105,12 @@ def next_generation(population: DataFrame, nodes: DataFrame, edges: DataFrame, c
     runs = population.groupBy("run_id", "instance", "k", "seed").agg(F.max(F.size("genes")).alias("length"))
     mutants = random_chromosomes(runs, config.elite + config.offspring, config.mutants, generation)
     new = children.unionByName(mutants)
-    return elite.unionByName(with_fitness(new, nodes, edges, method))
+    return elite.unionByName(with_fitness(new, nodes, edges, method, graphs))
 
 
-def with_fitness(population: DataFrame, nodes: DataFrame, edges: DataFrame, method: str) -> DataFrame:
+def with_fitness(population: DataFrame, nodes: DataFrame, edges: DataFrame, method: str, graphs: DataFrame | None = None) -> DataFrame:
     """``population`` with f, always by the true distances."""
-    scored = decode(population, nodes, edges, method).select("run_id", "generation", "chrom", "f")
+    scored = decode(population, nodes, edges, method, graphs).select("run_id", "generation", "chrom", "f")
     return population.join(scored, ["run_id", "generation", "chrom"]).select("run_id", "instance", "k", "seed", "generation", "chrom", "genes", "f")
 
 
@@ -128,15 +131,20 @@ def run_plan(runs: DataFrame, nodes: DataFrame, edges: DataFrame, config: Search
     been stale for the tolerance, at the last generation or after the time limit.
     """
     begun = time.monotonic()
-    population = checkpoint(with_fitness(random_chromosomes(runs, 0, config.population_size, 0), nodes, edges, method))
-    statistics = checkpoint(population_statistics(population, config))
+    graphs = near(checkpoint(graph_rows(nodes, edges)))
+    population = checkpoint(with_fitness(random_chromosomes(runs, 0, config.population_size, 0), nodes, edges, method, graphs))
+    statistics = [population_statistics(population, config)]
+    can_stop = config.tolerance_generations < config.max_generations
     for generation in range(1, config.max_generations + 1):
-        population = checkpoint(next_generation(population, nodes, edges, config, method, generation))
-        statistics = checkpoint(statistics.unionByName(population_statistics(population, config)))
-        stale = tolerance_stop(statistics, config.tolerance_generations).where("stopped_at IS NULL")
-        if stale.isEmpty() or (config.max_time is not None and time.monotonic() - begun > config.max_time):
+        population = checkpoint(next_generation(population, nodes, edges, config, method, generation, graphs))
+        statistics.append(population_statistics(population, config))
+        if can_stop:
+            statistics = [checkpoint(reduce(DataFrame.unionByName, statistics))]
+            if tolerance_stop(statistics[0], config.tolerance_generations).where("stopped_at IS NULL").isEmpty():
+                break
+        if config.max_time is not None and time.monotonic() - begun > config.max_time:
             break
-    return population, statistics
+    return population, reduce(DataFrame.unionByName, statistics)
 
 
 def tolerance_stop(statistics: DataFrame, tolerance: int) -> DataFrame:

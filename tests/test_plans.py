@@ -140,3 +140,16 @@ def test_tails():
 
 def test_palette_is_total():
     assert len(set(partition.palette(12).values())) == 12 and partition.palette(0) == {}
+
+
+def test_plan_stops_like_the_kernel(spark):
+    from parcelar.operators.kernels import chromosome_length
+
+    nodes, edges = fixtures.nation_lattice(spark, SMALL)
+    config = search.SearchConfig(population_size=10, max_generations=6, tolerance_generations=1, max_time=None, seed=3)
+    runs = spark.createDataFrame([("r", "nation_lattice", 3, 3, chromosome_length("mst", 25, 40))], "run_id string, instance string, k int, seed int, length int")
+    _, statistics = search.run_plan(runs, nodes, edges, config, "mst")
+    tasks = spark.createDataFrame([("r", "nation_lattice", 3, 3, "brkga_mst")], "run_id string, instance string, k int, seed int, heuristic string")
+    kernel = search.statistics_of(search.search_runs(tasks, nodes, edges, config))
+    a, b = ({r["generation"]: r["min"] for r in s.collect()} for s in (statistics, kernel))
+    assert a.keys() == b.keys() and all(a[g] == pytest.approx(b[g]) for g in a)
