@@ -19,6 +19,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="parcelar-checkpoint-"))
 
 
+#: Bytes of rows that go to a Python worker at a time.
+BATCH_BYTES = "4m"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the batches of Python stages by their bytes, unless the session has a bound of its own.
+
+    The usual bound is a number of rows, which long texts make hundreds of megabytes.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder and cut its lineage."""
     ensure_checkpoint_dir(df.sparkSession)

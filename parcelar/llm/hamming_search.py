@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import bounded_batches, checkpoint
 
 K = 10
 #: Low bits of a segment that are enumerated inside a group.
@@ -144,6 +144,7 @@ def hamming_top_k(entries: DataFrame, queries: DataFrame, bits: int, width: int,
     tables give no rows.
     """
     spark = entries.sparkSession
+    bounded_batches(spark)
     m = -(-bits // width)
     high = max(1, width - LOW)
     entries = entries.where("id IS NOT NULL AND code IS NOT NULL").select("id", "code").distinct()

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, documents
+from .common import bounded_batches, checkpoint, documents
 from .components import connected_components
 
 N, THRESHOLD = 5, 0.8
@@ -292,6 +292,7 @@ def text_classes(
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """One row per different text of ``slim (doc_id, text, t)``: t, first, n_copies, class, n_links."""
+    bounded_batches(slim.sparkSession)
     values = n_bands * n_rows
     keyed = slim.select("t", "text").mapInArrow(_banded(n, n_bands, n_rows), "t long, grams long, keys array<long>")
     spread = keyed.select("t", "grams", F.explode("keys").alias("key"))

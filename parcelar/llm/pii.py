@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import bounded_batches, documents
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("login", "iban", "ssn", "account")
@@ -245,6 +245,7 @@ def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     A null or empty text has no spans; null ids stay null; repeated rows each keep a row; an empty table
     gives an empty table; other columns are ignored, whatever their names.
     """
+    bounded_batches(docs.sparkSession)
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
     return slim.mapInArrow(_scan, f"doc_id {kind}, spans {_SPANS}")

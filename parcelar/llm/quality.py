@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, documents
+from .common import bounded_batches, checkpoint, documents
 
 #: Labelled rows that the classifier is fitted on at most.
 SAMPLE = 20_000
@@ -83,7 +83,7 @@ class Classifier:
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> Classifier:
     """Newton's method with a ridge on standardised measures; a constant model for a single class."""
     rate = float(y.mean()) if len(y) else 0.5
-    if not 0 < rate < 1:
+    if not len(y) or not 0 < rate < 1:
         return Classifier((0.0,) * x.shape[1], float(np.log((len(y) * rate + 1) / (len(y) * (1 - rate) + 1))), rate)
     mean, spread = x.mean(axis=0), x.std(axis=0)
     spread[spread < 1e-9] = 1.0
@@ -180,6 +180,7 @@ def fit_sites(measured_docs: DataFrame, labels: DataFrame, sample: int = SAMPLE,
 
 
 def _slim(docs: DataFrame, doc_id: str, text: str, host: str, path: str) -> DataFrame:
+    bounded_batches(docs.sparkSession)
     return docs.select(
         F.col(doc_id).alias("doc_id"), F.col(host).alias("host"), F.col(path).alias("path"), measured(F.col(text)).alias("x")
     )

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -27,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import bounded_batches, documents
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Words whose ids a worker remembers, and characters of text that are encoded at a time.
-MEMORY, PIECE = 600_000, 4_000_000
+#: Words whose ids a task remembers, and characters of text that are encoded at a time.
+MEMORY, PIECE = 300_000, 2_000_000
 #: Characters of the words that one search holds at once.
 BATCH = 400_000
 
@@ -77,6 +78,24 @@ class _Keys:
         return np.concatenate(hits), self.order[np.concatenate(places)]
 
 
+class Memory:
+    """Ids of words as packed 32-bit integers, in two generations so that frequent words stay."""
+
+    def __init__(self, size: int = MEMORY):
+        self.size, self.young, self.old = size, {}, {}
+
+    def find(self, words: list[str], encode) -> list[bytes]:
+        young, old = self.young, self.old
+        own = [young.get(w) or old.get(w) for w in words]
+        missing = sorted(w for w, ids in zip(words, own) if ids is None)
+        new = {w: array("i", ids).tobytes() for w, ids in encode(missing).items()}
+        own = [ids if ids is not None else new[w] for w, ids in zip(words, own)]
+        if len(young) + len(words) > self.size // 2:
+            self.old, self.young = young, {}
+        self.young.update(zip(words, own))
+        return own
+
+
 class Codec:
     """Ids of texts and texts of ids for one SentencePiece model, given as the bytes of its file."""
 
@@ -304,20 +323,15 @@ class Codec:
             return []
         return self.cut.findall((MARK if self.prefix else "") + text.replace(" ", MARK))
 
-    def encode(self, texts: list[str], memory: dict[str, tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str], memory: Memory) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts behind one another, and the number of each; ``memory`` keeps words' ids."""
         split = [self.words(t) for t in texts]
         sizes = np.array([len(words) for words in split], np.int64)
         numbered = pa.array(list(chain.from_iterable(split)), pa.string()).dictionary_encode()
         word, distinct = numbered.indices.to_numpy(), numbered.dictionary.to_pylist()
-        new = [w for w in distinct if w not in memory]
-        if len(memory) + len(new) > MEMORY:
-            memory.clear()
-            new = distinct
-        memory.update(self.encode_words(sorted(new)))
-        own = list(map(memory.__getitem__, distinct))
-        width = np.fromiter(map(len, own), np.int64, len(own))
-        pool = np.fromiter(chain.from_iterable(own), np.int32, int(width.sum()))
+        own = memory.find(distinct, self.encode_words)
+        width = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        pool = np.frombuffer(b"".join(own), np.int32)
         each = width[word]
         upto = np.cumsum(each)
         start = np.cumsum(width) - width
@@ -355,19 +369,20 @@ def _key(piece: str) -> int:
     return int(_finish(np.array([h], np.uint64), len(piece))[0])
 
 
-_CODECS: dict[bytes, tuple[Codec, dict]] = {}
+_CODECS: dict[bytes, Codec] = {}
 
 
-def _codec(model: bytes) -> tuple[Codec, dict]:
+def _codec(model: bytes) -> Codec:
+    """The codec of a model, which a worker keeps for its next tasks; words' ids go with the task."""
     if model not in _CODECS:
         _CODECS.clear()
-        _CODECS[model] = (Codec(model), {})
+        _CODECS[model] = Codec(model)
     return _CODECS[model]
 
 
 def _encoded(shared):
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, memory = _codec(shared.value)
+        codec, memory = _codec(shared.value), Memory()
         for batch in batches:
             at = 0
             texts = batch["text"]
@@ -391,7 +406,7 @@ def _encoded(shared):
 
 def _decoded(shared):
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, _ = _codec(shared.value)
+        codec = _codec(shared.value)
         for batch in batches:
             texts = []
             for ids in batch["tokens"]:
@@ -412,6 +427,7 @@ def encode_texts(docs: DataFrame, model: str = MODEL, doc_id: str = "doc_id", te
     """
     with open(model, "rb") as file:
         shared = docs.sparkSession.sparkContext.broadcast(file.read())  # a model file, about 0.5 MB
+    bounded_batches(docs.sparkSession)
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
     return slim.mapInArrow(_encoded(shared), f"doc_id {kind}, n_tokens long, tokens array<int>, round_trip boolean")
@@ -421,6 +437,7 @@ def decode_tokens(encoded: DataFrame, model: str = MODEL, doc_id: str = "doc_id"
     """One row per row: doc_id, text.  A null array gives the empty text; broken UTF-8 is replaced."""
     with open(model, "rb") as file:
         shared = encoded.sparkSession.sparkContext.broadcast(file.read())
+    bounded_batches(encoded.sparkSession)
     slim = encoded.select(F.col(doc_id).alias("doc_id"), F.col(tokens).cast("array<int>").alias("tokens"))
     kind = slim.schema["doc_id"].dataType.simpleString()
     return slim.mapInArrow(_decoded(shared), f"doc_id {kind}, text string")

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, documents
+from .common import bounded_batches, checkpoint, documents
 
 LENGTH = 400
 #: Bytes of one bucket's distinct segments, and of one suffix array.
@@ -410,6 +410,7 @@ def remove_repeats(
     slim = docs.select(
         F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(doc_id), F.col(text)).alias("k1"), F.coalesce(F.col(text), F.lit("")).alias("text")
     )
+    bounded_batches(docs.sparkSession)
     kind = slim.schema["doc_id"].dataType.simpleString()
     key = ["bucket", "s1", "s2"]
     found = slim.where(F.octet_length("text") >= length).mapInArrow(_find(length), _SEGMENT.format(id=kind))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import bounded_batches, documents
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -136,6 +136,7 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, doc_id: str = "d
     is read on the driver and travels with the tasks.
     """
     starts, continues = read_vocabulary(vocabulary)
+    bounded_batches(docs.sparkSession)
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
     return slim.mapInArrow(_counted(starts, continues), f"doc_id {kind}, n_words long, n_tokens long")
