@@ -268,3 +268,33 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         joined(F.col("spans")).alias("spans"),
     )
 
+
+
+#: The base kinds.  The added kinds, which the tables don't hold, are left to the tests.
+SQL = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS uid, coalesce(text, '') AS body FROM documents
+), cut AS (
+  SELECT uid, 1 AS ord, 'email' AS kind, regexp_extract_all(body, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') AS hits, string_split_regex(body, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') AS gaps FROM d UNION ALL SELECT uid, 2 AS ord, 'ip' AS kind, regexp_extract_all(body, '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)') AS hits, string_split_regex(body, '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)') AS gaps FROM d UNION ALL SELECT uid, 3 AS ord, 'card' AS kind, regexp_extract_all(body, '[0-9](?:[\x20-]?[0-9])+') AS hits, string_split_regex(body, '[0-9](?:[\x20-]?[0-9])+') AS gaps FROM d UNION ALL SELECT uid, 4 AS ord, 'phone' AS kind, regexp_extract_all(body, '\+[0-9][\x20().0-9-]+[0-9]') AS hits, string_split_regex(body, '\+[0-9][\x20().0-9-]+[0-9]') AS gaps FROM d
+), hit AS (
+  SELECT uid, ord, kind, hits[i] AS s, regexp_replace(hits[i], '[^0-9]', '', 'g') AS digits,
+         list_sum([len(g) FOR g IN gaps[1:i]])::BIGINT + coalesce(list_sum([len(h) FOR h IN hits[1:i - 1]]), 0)::BIGINT AS start
+  FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM cut)
+), good AS (
+  SELECT *, kind || ':' || start || ':' || (start + len(s)) AS span FROM hit
+  WHERE CASE kind
+    WHEN 'email' THEN true
+    WHEN 'ip' THEN list_max([CASE WHEN len(ltrim(p, '0')) > 3 THEN 999 ELSE ('0' || ltrim(p, '0'))::INTEGER END FOR p IN string_split(s, '.')]) <= 255
+    WHEN 'card' THEN len(digits) BETWEEN 12 AND 19 AND list_sum([
+      CASE WHEN i % 2 = 1 THEN reverse(digits)[i]::INTEGER WHEN reverse(digits)[i]::INTEGER > 4 THEN 2 * reverse(digits)[i]::INTEGER - 9 ELSE 2 * reverse(digits)[i]::INTEGER END
+      FOR i IN range(1, len(digits) + 1)]) % 10 = 0
+    ELSE len(digits) BETWEEN 9 AND 15 END
+), per AS (
+  SELECT uid, count(*) FILTER (ord = 1) AS n_email, count(*) FILTER (ord = 2) AS n_ip, count(*) FILTER (ord = 3) AS n_card, count(*) FILTER (ord = 4) AS n_phone,
+         string_agg(span, ',' ORDER BY start, ord) AS spans
+  FROM good GROUP BY uid
+)
+SELECT doc_id, coalesce(n_email, 0)::BIGINT AS n_email, coalesce(n_ip, 0)::BIGINT AS n_ip, coalesce(n_card, 0)::BIGINT AS n_card, coalesce(n_phone, 0)::BIGINT AS n_phone,
+       sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN per USING (uid)
+"""

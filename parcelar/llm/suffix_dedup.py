@@ -479,3 +479,28 @@ def remove_repeats(
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir), LENGTH, keep="none", with_text=False)
+
+
+#: Digests of all windows of all texts; for small tables.
+SQL = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS uid, encode(coalesce(text, '')) AS body FROM documents
+), w AS (
+  SELECT uid, i, md5(body[i:i + 399]) AS h FROM (SELECT uid, body, unnest(range(1, octet_length(body) - 398)) AS i FROM d WHERE octet_length(body) >= 400)
+), twice AS (
+  SELECT h FROM w GROUP BY h HAVING count(*) > 1
+), hit AS (
+  SELECT uid, i, i - lag(i) OVER (PARTITION BY uid ORDER BY i) > 400 AS apart FROM w SEMI JOIN twice USING (h)
+), span AS (
+  SELECT uid, min(i) AS a, max(i) + 400 AS b, nth
+  FROM (SELECT uid, i, count(*) FILTER (apart) OVER (PARTITION BY uid ORDER BY i ROWS UNBOUNDED PRECEDING) AS nth FROM hit) GROUP BY uid, nth
+), gap AS (
+  SELECT uid, a, coalesce(lag(b) OVER (PARTITION BY uid ORDER BY a), 1) AS since FROM span
+  UNION ALL SELECT d.uid, octet_length(body) + 1, coalesce((SELECT max(b) FROM span s WHERE s.uid = d.uid), 1) FROM d
+), kept AS (
+  SELECT uid, string_agg(hex(body[since:a - 1]), '' ORDER BY since) AS k FROM gap JOIN d USING (uid) WHERE a > since GROUP BY uid
+)
+SELECT doc_id, octet_length(body)::BIGINT AS n_bytes, (octet_length(body) - coalesce(length(k), 0) // 2)::BIGINT AS n_removed,
+       (SELECT count(*) FROM span s WHERE s.uid = d.uid) AS n_spans, sha256(unhex(coalesce(k, ''))) AS kept_sha256
+FROM d LEFT JOIN kept USING (uid)
+"""
