@@ -61,7 +61,7 @@ def test_native_and_kernel_decoders_agree(spark):
 
 def test_unknown_names(spark):
     with pytest.raises(ValueError):
-        batch.check_heuristics(["pygeoda__skater"])
+        batch.check_heuristics(["no_such_method"])
     assert batch.check_heuristics([]) == batch.HEURISTICS
     graph = decoders.as_graph(2, [0.0, 1.0], [0], [1])
     with pytest.raises(ValueError):
