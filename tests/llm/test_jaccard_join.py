@@ -50,10 +50,10 @@ def rows():
     return [*out, (500, None), (501, ""), (502, "..."), (None, out[0][1]), (3, out[3][1]), (None, "x y z")]
 
 
-@pytest.mark.parametrize("block", [400, 15])
-def test_against_brute_force(spark, block):
+@pytest.mark.parametrize("block, share", [(400, 0.5), (15, 0.5), (15, 1e9)])  # the last compares per bucket
+def test_against_brute_force(spark, block, share):
     docs = spark.createDataFrame(rows(), "doc_id long, text string").repartition(3)
-    got = sorted((tuple(r) for r in m.jaccard_links(docs, block_texts=block).collect()), key=str)
+    got = sorted((tuple(r) for r in m.jaccard_links(docs, block_texts=block, bucket_share=share).collect()), key=str)
     assert got == brute(rows())
 
 

@@ -1,7 +1,6 @@
 """Classifier and forest: held-out accuracy; the pipeline's stages."""
 
 import numpy as np
-import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 
