@@ -4,7 +4,9 @@
    5 values a pair of similarity 0.8 shares no key with probability 3e-6, one of 0.9 with 4e-13.
    Equal texts are one node from here on, so copies never meet each other.
 2. Texts of one bucket are tied to its smallest text, and the ties' connected components are the
-   candidate groups: all pairs that share a key lie inside one.
+   candidate groups: all pairs that share a key lie inside one.  Where a component is large but its
+   buckets are small (a chain of texts that only share passages), the buckets themselves are the groups,
+   and a pair counts in the first bucket that it shares; the cheaper way is chosen by counted pairs.
 3. A group is cut into blocks of bounded size; each pair of blocks is a tile of its own.  In a tile the
    signatures of all pairs are compared a few values at a time.  After m of n values agreed, with a
    uniform prior on the similarity s, s has a Beta(m + 1, n - m + 1) posterior; a pair is dropped as soon
@@ -36,9 +38,11 @@ TOLERANCE = 1e-6
 #: Values compared between two looks at the posterior.
 STEP = 32
 #: Texts and bytes of n-grams in a block; a tile holds two blocks.
-BLOCK_TEXTS, BLOCK_BYTES = 400, 2_000_000
+BLOCK_TEXTS, BLOCK_BYTES = 256, 1_000_000
+#: Share of a component's pairs that its buckets may have together to be taken instead.
+BUCKET_SHARE = 0.5
 #: Characters whose n-grams are held at once, and words whose hashes a worker remembers.
-PIECE, MEMORY = 1_000_000, 500_000
+PIECE, MEMORY = 1_000_000, 100_000
 
 _WORDS = re.compile(r"\w+")
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -91,13 +95,13 @@ def ngrams(texts: list[str], n: int, memory: _Hashes) -> tuple[np.ndarray, np.nd
 
 
 def signatures(grams: np.ndarray, counts: np.ndarray, values: int) -> np.ndarray:
-    """MinHash signatures (texts x values); texts without n-grams have zeros."""
+    """MinHash signatures (texts x values, 32 bits each); texts without n-grams have zeros."""
     full = counts > 0
     starts = (np.cumsum(counts) - counts)[full]
-    out = np.zeros((len(counts), values), np.uint64)
+    out = np.zeros((len(counts), values), np.uint32)
     if len(starts):
         for k, a in enumerate(_seeds(values)):
-            out[full, k] = np.minimum.reduceat((grams ^ (a >> np.uint64(7))) * a, starts)
+            out[full, k] = np.minimum.reduceat((grams ^ (a >> np.uint64(7))) * a, starts) >> np.uint64(32)
     return out
 
 
@@ -106,7 +110,7 @@ def bands(signature: np.ndarray, count: int, rows: int) -> np.ndarray:
     grouped = signature[:, : count * rows].reshape(len(signature), count, rows)
     key = np.broadcast_to(np.arange(count, dtype=np.uint64), (len(signature), count))
     for k in range(rows):
-        key = _mix(key * _M1 + grouped[:, :, k])
+        key = _mix(key * _M1 + grouped[:, :, k].astype(np.uint64))
     return key.view(np.int64)
 
 
@@ -163,7 +167,7 @@ def _loaded(n: int, values: int):
         for batch in batches:
             for at, part in _parts(batch["text"]):
                 grams, counts = ngrams(part, n, memory)
-                signed = (signatures(grams, counts, values) >> np.uint64(32)).astype(np.uint32)
+                signed = signatures(grams, counts, values)
                 sets = [np.unique(g).tobytes() for g in np.split(grams, np.cumsum(counts)[:-1])]
                 rest = batch.slice(at, len(part))
                 names = [k for k in batch.schema.names if k != "text"]
@@ -249,9 +253,15 @@ def _clusters(count: int, pairs: np.ndarray) -> np.ndarray:
     return label
 
 
-def _tiled(threshold: float, looks: list[tuple[int, int]]):
+def _first_shared(signed: np.ndarray, pairs: np.ndarray, key: int, count: int, rows: int) -> np.ndarray:
+    """Whether the bucket ``key`` is the first that each pair shares."""
+    keys = bands(signed, count, rows)
+    here = int(np.flatnonzero((keys == key).all(axis=0))[0])
+    return ~(keys[pairs[:, 0], :here] == keys[pairs[:, 1], :here]).any(axis=1)
+
+
+def _tiled(threshold: float, looks: list[tuple[int, int]], count: int, band_rows: int):
     def settle(rows: list[dict]) -> pa.RecordBatch:
-        rows.sort(key=lambda r: r["t"])
         ids = np.array([r["t"] for r in rows], np.int64)
         sets = [np.frombuffer(r["grams"], np.uint64) for r in rows]
         signed = np.stack([np.frombuffer(r["signature"], np.uint32) for r in rows])
@@ -261,6 +271,8 @@ def _tiled(threshold: float, looks: list[tuple[int, int]]):
         else:
             left, right = np.flatnonzero(own == rows[0]["lo"]), np.flatnonzero(own == rows[0]["hi"])
         pairs = similar(sets, signed, left, right, threshold, looks)
+        if rows[0]["bucket"] and len(pairs):
+            pairs = pairs[_first_shared(signed, pairs, rows[0]["group"], count, band_rows)]
         links = np.bincount(pairs.ravel(), minlength=len(rows))
         roots = ids[_clusters(len(rows), pairs)]
         hit = links > 0
@@ -270,11 +282,12 @@ def _tiled(threshold: float, looks: list[tuple[int, int]]):
         rows: list[dict] = []
         for batch in batches:
             for r in batch.to_pylist():
-                if rows and (r["group"], r["lo"], r["hi"]) != (rows[0]["group"], rows[0]["lo"], rows[0]["hi"]):
+                if rows and any(r[c] != rows[0][c] for c in ("bucket", "group", "lo", "hi")):
                     if len(rows) > 1:
                         yield settle(rows)
                     rows = []
-                rows.append(r)
+                if not rows or r["t"] != rows[-1]["t"]:  # rows with equal id and text bring a text twice
+                    rows.append(r)
         if len(rows) > 1:
             yield settle(rows)
 
@@ -290,40 +303,54 @@ def text_classes(
     tolerance: float = TOLERANCE,
     block_texts: int = BLOCK_TEXTS,
     block_bytes: int = BLOCK_BYTES,
+    bucket_share: float = BUCKET_SHARE,
 ) -> DataFrame:
     """One row per different text of ``slim (doc_id, text, t)``: t, first, n_copies, class, n_links."""
     bounded_batches(slim.sparkSession)
+    bounded_batches(slim.sparkSession)
     values = n_bands * n_rows
     keyed = slim.select("t", "text").mapInArrow(_banded(n, n_bands, n_rows), "t long, grams long, keys array<long>")
     spread = keyed.select("t", "grams", F.explode("keys").alias("key"))
     # Copies of a text bring the same (key, t) pairs, which combine before the shuffle.
     bucket = spread.groupBy("key").agg(F.min("t").alias("low"), F.max("t").alias("high")).where("low <> high").select("key", "low")
-    ties = checkpoint(
-        spread.join(bucket, "key").groupBy("t", F.col("low")).agg(F.max("grams").alias("grams"))
+    # Copies have been combined here: a row per bucket and different text.
+    shared = checkpoint(spread.join(bucket, "key").groupBy("key", "t").agg(F.max("grams").alias("grams"), F.max("low").alias("low")))
+    roots = connected_components(shared.select(F.col("t").alias("u"), F.col("low").alias("v")).distinct())
+    group = F.coalesce("root", "t").alias("group")
+    sized = shared.groupBy("t").agg(F.max("grams").alias("grams"))
+    grouped = sized.join(roots.withColumnRenamed("node", "t"), "t", "left").select("t", "grams", group)
+    buckets = shared.groupBy("key", F.col("low").alias("t")).agg(F.count("*").alias("texts"), F.sum("grams").alias("grams"))
+    bucket_pairs = buckets.join(roots.withColumnRenamed("node", "t"), "t", "left").groupBy(group).agg(F.sum(F.col("texts") * F.col("texts")).alias("pairs"))
+    groups = grouped.groupBy("group").agg(F.count("*").alias("texts"), F.sum("grams").alias("grams")).where("texts > 1").join(bucket_pairs, "group")
+    by_bucket = (F.col("texts") > block_texts) & (F.col("pairs") < F.col("texts") * F.col("texts") * bucket_share)
+    blocks = F.ceil(F.greatest(F.col("texts") / block_texts, F.col("grams") * 8 / block_bytes)).cast("int").alias("blocks")
+    groups = checkpoint(groups.select("group", blocks, by_bucket.alias("bucket")))
+    members = grouped.drop("grams").join(groups, "group")
+    in_buckets = (
+        shared.join(members.where("bucket").select("t"), "t")
+        .join(buckets.select("key", blocks), "key")
+        .select("t", F.col("key").alias("group"), "blocks", F.lit(True).alias("bucket"))
     )
-    roots = connected_components(ties.select(F.col("t").alias("u"), F.col("low").alias("v")))
-    sized = ties.groupBy("t").agg(F.max("grams").alias("grams"))
-    grouped = sized.join(roots.withColumnRenamed("node", "t"), "t", "left").select("t", "grams", F.coalesce("root", "t").alias("group"))
-    groups = grouped.groupBy("group").agg(F.count("*").alias("texts"), F.sum("grams").alias("grams"))
-    blocks = F.ceil(F.greatest(F.col("texts") / block_texts, F.col("grams") * 8 / block_bytes)).cast("int")
-    members = grouped.drop("grams").join(groups.where("texts > 1").select("group", blocks.alias("blocks")), "group")
+    members = members.where("NOT bucket").select("t", "group", "blocks", "bucket").unionByName(in_buckets)
     # One document stands for each text: the first by id.
     first = slim.groupBy("t").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_copies"))
-    chosen = members.join(first, "t").select("t", "first", "group", "blocks")
+    own_groups = F.collect_set(F.struct("group", "blocks", "bucket")).alias("groups")  # one, or one per bucket at most
+    chosen = members.join(first, "t").groupBy("t", "first").agg(own_groups)
     sources = (
         slim.alias("a")
         .join(chosen.alias("b"), (F.col("a.t") == F.col("b.t")) & F.col("a.doc_id").eqNullSafe(F.col("b.first")))
-        .select("a.t", "a.text", "b.group", "b.blocks")
+        .select("a.t", "a.text", "b.groups")
     )
-    loaded = sources.mapInArrow(_loaded(n, values), "t long, group long, blocks int, grams binary, signature binary")
+    kind = "array<struct<group:bigint,blocks:int,bucket:boolean>>"
+    loaded = sources.mapInArrow(_loaded(n, values), f"t long, groups {kind}, grams binary, signature binary")
+    loaded = loaded.select("t", "grams", "signature", F.inline("groups"))
     loaded = loaded.withColumn("block", F.expr("cast(pmod(xxhash64(t, 1), blocks) AS int)"))
     spans = loaded.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     tiles = (
-        spans.select("group", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "t", "grams", "signature")
-        .repartition("group", "lo", "hi")
-        .sortWithinPartitions("group", "lo", "hi", "t")
-        .mapInArrow(_unique, "group long, lo int, hi int, block int, t long, grams binary, signature binary")
-        .mapInArrow(_tiled(threshold, least_matches(values, STEP, threshold, tolerance)), "t long, links long, root long")
+        spans.select("bucket", "group", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "t", "grams", "signature")
+        .repartition("bucket", "group", "lo", "hi")
+        .sortWithinPartitions("bucket", "group", "lo", "hi", "t")
+        .mapInArrow(_tiled(threshold, least_matches(values, STEP, threshold, tolerance), n_bands, n_rows), "t long, links long, root long")
     )
     linked = checkpoint(tiles.groupBy("t", "root").agg(F.sum("links").alias("links")))
     classes = connected_components(linked.select(F.col("t").alias("u"), F.col("root").alias("v")))
@@ -377,17 +404,36 @@ def keep_representatives(docs: DataFrame, **options) -> DataFrame:
     return rows.join(winners, "_k", "left_semi").drop("_k")
 
 
-def _unique(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Drops a text that came twice into a tile (rows with the same id and text)."""
-    last = None
-    for batch in batches:
-        keys = list(zip(*(batch[k].to_pylist() for k in ("group", "lo", "hi", "t"))))
-        keep = []
-        for k in keys:
-            keep.append(k != last)
-            last = k
-        yield batch.filter(pa.array(keep, pa.bool_()))
-
-
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_links(documents(spark, sf_dir))
+
+
+#: All pairs by way of shared n-grams, then components by recursion; for small tables.
+SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(text, '') AS text FROM documents
+), t AS (
+  SELECT text, min(doc_id) AS first, count(*) AS n_copies FROM d GROUP BY text
+), w AS (
+  SELECT first, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM t
+), g AS (
+  SELECT DISTINCT first, array_to_string(w[i:i + 4], ' ') AS gram
+  FROM (SELECT first, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM w WHERE len(w) > 0)
+), n AS (
+  SELECT first, count(*) AS n FROM g GROUP BY first
+), shared AS (
+  SELECT a.first AS a, b.first AS b, count(*) AS c FROM g a JOIN g b ON a.gram = b.gram AND a.first <> b.first GROUP BY a.first, b.first
+), links AS (
+  SELECT a, b FROM shared JOIN n x ON x.first = a JOIN n y ON y.first = b WHERE c / (x.n + y.n - c) >= 0.8 - 1e-12
+), reach(a, b) AS (
+  SELECT first, first FROM t
+  UNION
+  SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
+), classes AS (
+  SELECT a AS first, min(b) AS class_id FROM reach GROUP BY a
+), counts AS (
+  SELECT a AS first, count(*) AS n_links FROM links GROUP BY a
+)
+SELECT doc_id, class_id, coalesce(n_links, 0)::BIGINT AS n_links, n_copies
+FROM d JOIN t USING (text) JOIN classes USING (first) LEFT JOIN counts USING (first)
+"""

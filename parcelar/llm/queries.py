@@ -18,6 +18,9 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_suffix_dedup": suffix_dedup.SQL,
+    "op2_pii": pii.SQL,
+    "op7_jaccard_join": jaccard_join.SQL,
     "op4_hamming_search": hamming_search.SQL,
     "op5_sharding": sharding.SQL,
     "op9_decontamination": decontamination.SQL,
