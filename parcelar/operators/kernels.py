@@ -102,13 +102,13 @@ def decode_shortest(graph: Graph, k: int, genes: np.ndarray) -> np.ndarray:
 
     Where weights are zero a seed may be as near to a lower seed, and its own region stays empty.
     """
-    return nearest_seeds(graph, k, (genes[: graph.m] * graph.d).tolist(), genes[graph.m :])
+    return nearest_seeds(graph, (genes[: graph.m] * graph.d).tolist(), seeds(genes[graph.m :], k).tolist())
 
 
-def nearest_seeds(graph: Graph, k: int, weight: list[float], node_keys: np.ndarray) -> np.ndarray:
+def nearest_seeds(graph: Graph, weight: list[float], chosen: list[int]) -> np.ndarray:
     best = [(np.inf, 1)] * graph.n
     queue = []
-    for region, s in enumerate(seeds(node_keys, k).tolist(), 1):
+    for region, s in enumerate(chosen, 1):
         best[s] = (0.0, region)
         queue.append((0.0, region, s))
     heapq.heapify(queue)

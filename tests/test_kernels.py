@@ -113,6 +113,14 @@ def test_classic_heuristics(g, data, seed):
         assert contiguous(g, region), name
 
 
+def test_classic_heuristics_on_two_components():
+    g = Graph(np.array([0.0, 1, 5, 6, 9])[:, None], np.array([0, 2, 3]), np.array([1, 3, 4]))
+    for name, f in CLASSIC.items():
+        for seed in range(5):
+            region = f(g, 3, seed)
+            assert set(region.tolist()) == {1, 2, 3} and contiguous(g, region), name
+
+
 def test_path_is_solved():
     g = path()
     for name in ("skater", "redcap", "schc", "azp_greedy", "azp_tabu"):
