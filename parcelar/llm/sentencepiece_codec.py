@@ -32,8 +32,8 @@ from .common import bounded_batches, documents
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Words whose ids a task remembers, and characters of text that are encoded at a time.
-MEMORY, PIECE = 300_000, 2_000_000
+#: Words whose ids a task remembers, and bytes of text that are encoded at a time (about).
+MEMORY, PIECE = 500_000, 3_000_000
 #: Characters of the words that one search holds at once.
 BATCH = 400_000
 
@@ -241,8 +241,9 @@ class Codec:
             for s in range(max(0, e - self.longest), e):
                 key = _finish(prefix[e] - prefix[s] * power[e - s], e - s)
                 hit, spot = self.keys.find(key)
-                reached = best[s, hit] > -np.inf
-                hit, spot = hit[reached], spot[reached]
+                if not self.bpe:  # a BPE word with a gap is known not to be single already
+                    reached = best[s, hit] > -np.inf
+                    hit, spot = hit[reached], spot[reached]
                 rows.append(hit)
                 ids.append(self.key_ids[spot])
                 starts.append(np.full(len(hit), s))
@@ -351,8 +352,7 @@ class Codec:
 
 
 def _finish(h: np.ndarray, length: int) -> np.ndarray:
-    h = (h ^ np.uint64(length * 0xC2B2AE3D27D4EB4F % 2**64)) * _P
-    return (h ^ (h >> np.uint64(29))) * _P
+    return (h ^ np.uint64(length * 0xC2B2AE3D27D4EB4F % 2**64)) * _P  # the upper bits hang on all bits
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -383,23 +383,25 @@ def _codec(model: bytes) -> Codec:
 def _encoded(shared):
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, memory = _codec(shared.value), Memory()
-        for batch in batches:
-            at = 0
-            texts = batch["text"]
-            while at < len(batch):
-                part, held = [], 0
-                while at + len(part) < len(batch) and held < PIECE:
-                    part.append(texts[at + len(part)].as_py() or "")
-                    held += len(part[-1])
-                ids, counts = codec.encode(part, memory)
-                same = [d == t.encode() for d, t in zip(codec.decode(ids, counts), part)]
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(ids))
-                rest = batch.slice(at, len(part))
-                yield pa.RecordBatch.from_arrays(
-                    [*(rest[k] for k in batch.schema.names if k != "text"), pa.array(counts), lists, pa.array(same)],
-                    names=[*(k for k in batch.schema.names if k != "text"), "n_tokens", "tokens", "round_trip"],
-                )
-                at += len(part)
+
+        def flush(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            texts = [t or "" for t in whole["text"].to_pylist()]
+            ids, counts = codec.encode(texts, memory)
+            same = [d == t.encode() for d, t in zip(codec.decode(ids, counts), texts)]
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(ids))
+            return pa.RecordBatch.from_arrays([whole["doc_id"], pa.array(counts), lists, pa.array(same)], names=["doc_id", "n_tokens", "tokens", "round_trip"])
+
+        held, size = [], 0
+        for batch in batches:  # batches are bounded by bytes; several make one search
+            if len(batch):
+                held.append(batch)
+                size += batch.nbytes
+            if size >= PIECE:
+                yield flush(held)
+                held, size = [], 0
+        if held:
+            yield flush(held)
 
     return encoded
 
