@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from parcelar.functions.vectors import squared_distance
 
 #: Nodes of a block; pairs of blocks are the unit of work of all-pairs distances.
-BLOCK = 512
+BLOCK = 128
 
 
 def pairwise_dissimilarity(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
