@@ -42,7 +42,7 @@ DICTIONARY = (
 ).split()
 _CUE = rf"(?i)(?:{NAMES}|bearer|login|key)\W{{0,6}}$"
 _OTHER = r"(?i)(?:commit|revision|sha-?\d*|md5|checksum|digest|hash|uuid|guid|id|version|isbn|order|number|phone|card|invoice)\W{0,3}$"
-_TESTS = r"(?i)(?:test|example|fixture|mock|sample|demo|docs?/)"
+_TESTS = r"(?i)(?:^|/)(?:tests?|examples?|fixtures?|mocks?|samples?|demos?|docs?)(?:/|$)"
 
 MEASURES = (
     "length", "runs", "digits", "upper", "marks", "distinct", "hex", "numeric", "dictionary", "cue", "assigned", "quoted", "other", "tests",
@@ -85,6 +85,8 @@ def labelled_findings(spark: SparkSession, count: int = FINDINGS) -> DataFrame:
     """Synthetic labelled findings: value, before, after, path, label (1: a secret).
 
     Row ``i`` depends on ``i`` alone: its random characters are SHA-256 digests, its kind is ``i % 14``.
+    A fifth of all kinds lies under test paths or on hosts that sound like them, secrets too, so a path alone
+    vetoes nothing: only repeated patterns count as dummies there, and as secrets elsewhere.
     """
     rows = spark.range(0, count, 1, 4).select(
         "id",
@@ -124,15 +126,21 @@ def labelled_findings(spark: SparkSession, count: int = FINDINGS) -> DataFrame:
         (uuid, F.concat(prose, other, F.lit(": ")), F.lit(" "), 0),
         (holder, F.concat(prose, cue, sign), closing, 0),
         (F.concat(F.substring(digits, 1, 3), F.lit("-"), F.substring(digits, 4, 13)), prose, F.lit(","), 0),
-        (F.substring("h", 1, 40), F.concat(prose, cue, sign), closing, 0),  # in a test path
+        (F.repeat(F.substring("h", 1, 4), 10), F.concat(prose, cue, sign), closing, 0),  # a dummy in a test path, a secret elsewhere
     ]
+    plain = F.concat(F.lit("src"), (F.col("r") % 20).cast("string"))
+    alike = F.array(*map(F.lit, ("tests/fixtures/config", "latest-news.org", "https://contest.example.com/docs/page", "examples/app", "demo.example.org", "test")))
+    near_tests = F.element_at(alike, (F.floor(F.col("r") / 5) % 6 + 1).cast("int"))
+    dummy = (F.col("kind") == 13) & (F.col("r") % 2 == 0)
     pick = lambda n: F.element_at(F.array(*(k[n] for k in kinds)), (F.col("kind") + 1).cast("int"))
     return rows.select(
         pick(0).alias("value"),
         pick(1).alias("before"),
         pick(2).alias("after"),
-        F.when(F.col("kind") == 13, F.lit("tests/fixtures/config")).otherwise(F.concat(F.lit("src"), (F.col("r") % 20).cast("string"))).alias("path"),
-        F.element_at(F.array(*(F.lit(float(k[3])) for k in kinds)), (F.col("kind") + 1).cast("int")).alias("label"),
+        F.when(dummy, F.lit("tests/fixtures/config")).when((F.col("kind") != 13) & (F.col("r") % 5 == 0), near_tests).otherwise(plain).alias("path"),
+        F.when((F.col("kind") == 13) & ~dummy, F.lit(1.0))
+        .otherwise(F.element_at(F.array(*(F.lit(float(k[3])) for k in kinds)), (F.col("kind") + 1).cast("int")))
+        .alias("label"),
     )
 
 

@@ -61,6 +61,18 @@ def test_secrets_are_found_and_masked(spark):
     assert clean[6] == 'token = "[SECRET]"' and clean[2] == body[2] and clean[5] is None
 
 
+def test_a_path_alone_clears_no_secret(spark):
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    paths = ["src1", "latest-news.org", "contest.example.com", "https://a.org/docs/page", "tests/fixtures/config", "examples/app", None]
+    rows = [(i, f'token = "{value}"', p) for i, (p, value) in enumerate((p, v) for p in paths for v in (key, key + key[:24]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = {r["doc_id"]: r["probability"] for r in secrets.scan_secrets(docs).collect()}
+    assert len(found) == len(rows) and min(found.values()) >= secrets.CUT, found
+    assert {r["text"] for r in secrets.redact_secrets(docs).collect()} == {'token = "[SECRET]"'}
+    flags = secrets.with_measures(docs.selectExpr("doc_id", "text AS value", "'' AS before", "'' AS after", "source AS path"))
+    assert {r["path"] for r in flags.where("tests = 1").collect()} == {"https://a.org/docs/page", "tests/fixtures/config", "examples/app"}
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
