@@ -162,27 +162,34 @@ def region_components(decoded: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def connected_components(edges: DataFrame, nodes: DataFrame, rounds: int = 64) -> DataFrame:
-    """``instance, node_id, component`` (smallest node) for graphs of any size, by label propagation.
+def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``instance, node_id, component`` (smallest node) for graphs of any size, by large-star and small-star steps.
 
-    Each round takes the smallest label among neighbours and then the label of one's label, so labels
-    travel twice as far each time.  Rounds are checkpointed in the shared folder.
+    Each step replaces edges by edges to the smallest neighbour, until every component is a star around
+    its smallest node; the number of steps grows with the logarithm of a component's size.  Steps run until
+    nothing changes and are checkpointed in the shared folder.  Edges with a node that ``nodes`` lacks count
+    as none.
     """
     from parcelar.plans.state import checkpoint
 
-    both = checkpoint(
-        edges.select("instance", "u", "v").union(edges.select("instance", "v", "u"))
-    )
-    labels = checkpoint(nodes.select("instance", "node_id", F.col("node_id").alias("component")))
-    for _ in range(rounds):
-        seen = labels.select("instance", F.col("node_id").alias("v"), F.col("component").alias("near"))
-        low = both.join(seen, ["instance", "v"]).groupBy("instance", F.col("u").alias("node_id")).agg(F.min("near").alias("near"))
-        new = labels.join(low, ["instance", "node_id"], "left").select(
-            "instance", "node_id", F.col("component").alias("old"), F.least("component", "near").alias("component")
-        )
-        jump = new.select("instance", F.col("node_id").alias("component"), F.col("component").alias("further"))
-        new = checkpoint(new.join(jump, ["instance", "component"], "left").select("instance", "node_id", "old", F.least("component", "further").alias("component")))
-        labels = new.drop("old")
-        if new.where("component <> old").isEmpty():
+    known = nodes.select("instance", "node_id").distinct()
+    near = edges.where("u <> v").select("instance", F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    for end in ("u", "v"):
+        near = near.join(known.withColumnRenamed("node_id", end), ["instance", end], "left_semi")
+    now = checkpoint(near.select("instance", "u", "v"))
+    before = None
+    while True:
+        found = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("instance", "u", "v")).alias("x")).first()
+        if (state := (found["n"], found["x"])) == before or found["n"] == 0:
             break
-    return labels
+        before = state
+        both = now.union(now.select("instance", "v", "u"))
+        least = both.groupBy("instance", "u").agg(F.min("v").alias("m")).select("instance", "u", F.least("u", "m").alias("m"))
+        large = both.join(least, ["instance", "u"]).where("v > u").select("instance", F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("instance", "u").agg(F.min("v").alias("m"))
+        small = large.join(least, ["instance", "u"]).where("v <> m").select("instance", F.col("v").alias("u"), F.col("m").alias("v"))
+        now = checkpoint(small.union(least.select("instance", "u", F.col("m").alias("v"))).distinct())
+    roots = now.select("instance", F.col("u").alias("node_id"), F.col("v").alias("component"))
+    return nodes.select("instance", "node_id").join(roots, ["instance", "node_id"], "left").select(
+        "instance", "node_id", F.coalesce("component", "node_id").alias("component")
+    )

@@ -153,3 +153,17 @@ def test_plan_stops_like_the_kernel(spark):
     kernel = search.statistics_of(search.search_runs(tasks, nodes, edges, config))
     a, b = ({r["generation"]: r["min"] for r in s.collect()} for s in (statistics, kernel))
     assert a.keys() == b.keys() and all(a[g] == pytest.approx(b[g]) for g in a)
+
+
+def test_components_of_long_paths(spark):
+    """A path of randomly numbered nodes is one component however long it is; two instances don't mix."""
+    order = np.random.default_rng(5).permutation(1000).tolist()
+    edges = [("long", a, b) for a, b in zip(order, order[1:])] + [("cut", a, b) for i, (a, b) in enumerate(zip(order, order[1:])) if i != 499]
+    edges += [("cut", 7, 7), ("cut", 3, 5000)]  # a loop, and a node that isn't there
+    nodes = [(i, n) for i in ("long", "cut") for n in order] + [("cut", 2000)]
+    half = {n: min(part) for part in (order[:500], order[500:], [2000]) for n in part}
+    found = decoders.connected_components(
+        spark.createDataFrame(edges, "instance string, u int, v int"), spark.createDataFrame(nodes, "instance string, node_id int")
+    ).collect()
+    assert {(r["instance"], r["node_id"]): r["component"] for r in found} == {(i, n): 0 if i == "long" else half[n] for i, n in nodes}
+    assert len(found) == len(nodes)
