@@ -7,11 +7,13 @@ look at a character more than a fixed number of times, so the time is linear in
 
 Base kinds are ``email``, ``ip``, ``card`` and ``phone``.  Added kinds need an explicit cue:
 ``login`` (a URL with a user name and password before its host), ``iban`` (mod-97 check), ``ssn`` and
-``account`` (digits behind the cue word).  Added spans may overlap base spans and never replace them.
+``account`` (digits behind the cue word).  Cues count in any case, and a few filler words such as "number"
+or "is" may stand behind them.  Added spans may overlap base spans and never replace them.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import ahocorasick
@@ -32,7 +34,11 @@ _PHONE = _DIGIT | frozenset(" ().-")
 _SCHEME = _LETTER | _DIGIT | frozenset("+.-")
 _USERINFO = _LETTER | _DIGIT | frozenset("-._~!$&'()*+,;=%")
 _ALNUM = _LETTER | _DIGIT
-_CUES = {"iban": ("iban",), "ssn": ("ssn", "social security number"), "account": ("account", "acct", "konto", "cuenta", "compte")}
+_CUES = {"iban": ("iban",), "ssn": ("ssn", "social security", "social security number"), "account": ("account", "acct", "konto", "cuenta", "compte")}
+# Words between a cue and its value.  "no" needs a mark behind it, since it is also a negation.
+_FILLER = re.compile(r"(?:numbers?|num|nr|nummer|n[uú]mero|num[eé]ro|n[°º]|is|ist|es|est|no(?=[.:#]))(?![A-Za-z0-9])", re.IGNORECASE)
+_FILLERS = 3
+_FOLD = {upper: upper + 32 for upper in range(65, 91)}
 
 Span = tuple[str, int, int]
 
@@ -135,12 +141,14 @@ def login_at(text: str, at: int, floor: int) -> tuple[int, int] | None:
 
 
 def _after_cue(text: str, at: int) -> int:
-    """First letter or digit within eight characters behind a cue word that ends at ``at``; -1 if none."""
+    """First letter or digit within eight characters behind a cue word that ends at ``at``, or behind its fillers; -1 if none."""
     if at < len(text) and text[at] in _LETTER:
         return -1
-    for i in range(at, min(at + 8, len(text))):
-        if text[i] in _ALNUM:
-            return i
+    for _ in range(_FILLERS + 1):
+        start = next((i for i in range(at, min(at + 8, len(text))) if text[i] in _ALNUM), -1)
+        if start < 0 or not (filler := _FILLER.match(text, start)):
+            return start
+        at = filler.end()
     return -1
 
 
@@ -180,17 +188,22 @@ def automaton() -> ahocorasick.Automaton:
         found.add_word(key, ("digit" if key in _DIGIT else key, len(key)))
     for kind, words in _CUES.items():
         for word in words:
-            for form in (word, word.upper(), word.capitalize()):
-                found.add_word(form, (kind, len(form)))
+            found.add_word(word, (kind, len(word)))
     found.make_automaton()
     return found
 
 
+def _folded(text: str) -> str:
+    """The text in lower case, with every character in its place."""
+    low = text.lower()
+    return low if len(low) == len(text) else text.translate(_FOLD)
+
+
 def spans_of(text: str, anchors: ahocorasick.Automaton) -> list[Span]:
     """All spans (kind, start, end) by start, then by kind as listed above; code points, end exclusive."""
     found: list[Span] = []
     email = ip = card = phone = login = cue = 0  # where the next match of each kind may start
-    for last, (what, width) in anchors.iter(text):
+    for last, (what, width) in anchors.iter(_folded(text)):
         at = last - width + 1
         if what == "digit":
             if at >= ip and (at == ip or text[at - 1] not in _DIGIT):

@@ -42,3 +42,23 @@ def test_added_kinds():
     assert m.spans_of("account 12345678", m.automaton()) == [("account", 8, 16)]
     for clean in ("http://host.com/a:b@c", "IBAN GB00 WEST 1234 5698 7654 32", "ssn 123456789", "subaccount 12345678", "see page 12 of 30"):
         assert not [s for s in m.spans_of(clean, m.automaton()) if s[0] in m.ADDED]
+
+
+@pytest.mark.parametrize(
+    "before, value, kind",
+    [
+        ("Account number: ", "12345678", "account"), ("account no. ", "12345678", "account"), ("ACCOUNT Nr ", "12345678", "account"),
+        ("İ aCCount number is # ", "12345678", "account"), ("Cuenta número: ", "12345678", "account"), ("IBAN is ", "DE89 3704 0044 0532 0130 00", "iban"),
+        ("iBan ", "NO93 8601 1117 947", "iban"), ("Social Security Number: ", "123-45-6789", "ssn"), ("Social Security No.: ", "123-45-6789", "ssn"),
+        ("SSN is ", "123-45-6789", "ssn"),
+    ],
+)
+def test_cues_in_any_case_and_with_fillers(before, value, kind):
+    text = f"é {before}{value}, end"
+    start = text.index(value)
+    assert [s for s in m.spans_of(text, m.automaton()) if s[0] in m.ADDED] == [(kind, start, start + len(value))]
+
+
+def test_fillers_are_whole_words():
+    for clean in ("account numbering 12345678", "account isolated 12345678", "account number is number is 12345678", "account is of 12345678"):
+        assert not [s for s in m.spans_of(clean, m.automaton()) if s[0] in m.ADDED]
