@@ -1,9 +1,9 @@
 """Secret scan with a random forest against false positives, DataFrame operations only.
 
 A regular expression proposes candidates in each whole text: values assigned to a name such as password
-or token, and long runs of token characters with a digit.  A random forest of measures of the candidate
-(length, character classes and the transitions between them, dictionary coverage), its path and its
-neighbouring words decides which are secrets.  The forest is fitted on labelled findings, by default on
+or token, and long runs of token characters.  A random forest of measures of the candidate (length,
+character classes and the transitions between them, dictionary coverage), its path and its neighbouring
+words decides which are secrets.  The forest is fitted on labelled findings, by default on
 synthetic ones made by rule, and runs in the JVM.
 
 Texts are read once.  What is shuffled is one slim row per candidate, to number positions in its text.
@@ -22,8 +22,8 @@ from .common import documents
 
 #: Names whose assigned value is a candidate.
 NAMES = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|credential)s?"
-ASSIGNED = rf"(?i:{NAMES})[\"']?\s{{0,3}}[:=]{{1,2}}\s{{0,3}}[\"']?[^\s\"'<>]{{8,}}"
-RUN = r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]{0,64}[0-9])[A-Za-z0-9_+/=-]{16,}"
+ASSIGNED = rf"(?i:{NAMES})[\"']?\s{{0,3}}[:=]{{1,2}}\s{{0,3}}[\"']?[^\s\"'<>]+"
+RUN = r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{16,}"
 CANDIDATE = f"{ASSIGNED}|{RUN}"
 #: Characters of context on each side that a candidate's measures look at.
 CONTEXT = 48
@@ -45,7 +45,7 @@ _OTHER = r"(?i)(?:commit|revision|sha-?\d*|md5|checksum|digest|hash|uuid|guid|id
 _TESTS = r"(?i)(?:^|/)(?:tests?|examples?|fixtures?|mocks?|samples?|demos?|docs?)(?:/|$)"
 
 MEASURES = (
-    "length", "runs", "digits", "upper", "marks", "distinct", "hex", "numeric", "dictionary", "cue", "assigned", "quoted", "other", "tests",
+    "length", "runs", "digits", "upper", "marks", "distinct", "hex", "numeric", "dictionary", "cue", "assigned", "quoted", "other", "tests", "piece",
 )
 
 
@@ -59,7 +59,8 @@ def _flag(test: Column) -> Column:
 
 def with_measures(found: DataFrame) -> DataFrame:
     """Adds the forest's measures to rows with value, before, after and path."""
-    value = F.col("value")
+    value = F.regexp_replace("value", r"([_+/=-])\1{3,}", "")  # rules of one mark say nothing
+    pieces = F.filter(F.split(value, "[^A-Za-z0-9]+"), lambda p: p.rlike("[0-9]") & p.rlike("[A-Za-z]"))
     classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "[a-z]+", "a"), "[A-Z]+", "A"), "[0-9]+", "0")
     size = F.greatest(F.length(value), F.lit(1))
     measures = {
@@ -77,6 +78,7 @@ def with_measures(found: DataFrame) -> DataFrame:
         "quoted": _flag(F.col("after").rlike("^[\"']")),
         "other": _flag(F.col("before").rlike(_OTHER)),
         "tests": _flag(F.col("path").rlike(_TESTS)),
+        "piece": F.coalesce(F.least(F.array_max(F.transform(pieces, F.length)), F.lit(200)), F.lit(0)).cast("double"),
     }
     return found.withColumns(measures)
 
@@ -84,14 +86,14 @@ def with_measures(found: DataFrame) -> DataFrame:
 def labelled_findings(spark: SparkSession, count: int = FINDINGS) -> DataFrame:
     """Synthetic labelled findings: value, before, after, path, label (1: a secret).
 
-    Row ``i`` depends on ``i`` alone: its random characters are SHA-256 digests, its kind is ``i % 14``.
+    Row ``i`` depends on ``i`` alone: its random characters are SHA-256 digests, its kind is ``i % 23``.
     A fifth of all kinds lies under test paths or on hosts that sound like them, secrets too, so a path alone
     vetoes nothing: only repeated patterns count as dummies there, and as secrets elsewhere.
     """
     rows = spark.range(0, count, 1, 4).select(
         "id",
         F.sha2(F.col("id").cast("string").cast("binary"), 256).alias("h"),
-        F.pmod(F.col("id"), F.lit(14)).alias("kind"),
+        F.pmod(F.col("id"), F.lit(23)).alias("kind"),
         F.pmod(F.xxhash64("id"), F.lit(1000)).alias("r"),
     )
     rows = rows.withColumn("b", F.translate(F.base64(F.unhex("h")), "=", "x"))
@@ -112,6 +114,14 @@ def labelled_findings(spark: SparkSession, count: int = FINDINGS) -> DataFrame:
     compound = F.concat_ws("-", word(3), word(4), word(5), (F.col("r") % 90 + 10).cast("string"), word(6))
     holder = F.concat_ws("_", F.lit("your"), word(7), word(8))
     uuid = F.concat_ws("-", F.substring("h", 1, 8), F.substring("h", 9, 4), F.substring("h", 13, 4), F.substring("h", 17, 4), F.substring("h", 21, 12))
+    key = F.when(F.col("r") % 2 == 0, F.concat(F.lit("AKIA"), F.upper(F.substring("h", 1, 16)))).otherwise(F.concat(F.lit("ghp_"), F.substring(F.translate("b", "+/", "ab"), 1, 36)))
+    rule = F.repeat(F.element_at(F.array(*map(F.lit, "=-_+/")), (F.col("r") % 5 + 1).cast("int")), (F.col("r") % 100 + 16).cast("int"))
+    way = F.element_at(F.array(*map(F.lit, "/-_")), (F.col("r") % 3 + 1).cast("int"))
+    slug = F.array_join(F.slice(F.array(*map(word, range(9, 39))), F.lit(1), (F.col("r") % 23 + 8).cast("int")), "/")
+    slug = F.when(F.col("r") % 3 == 0, slug).when(F.col("r") % 3 == 1, F.translate(slug, "/", "-")).otherwise(F.translate(slug, "/", "_"))
+    long_word = F.substring(F.translate("h", "0123456789abcdef", "ebakiletonusiran"), F.lit(1), (F.col("r") % 20 + 16).cast("int"))
+    letters = F.translate("b", "0123456789+/", "qZxWvKjYpBgH")
+    short = F.when(F.col("r") % 2 == 0, F.substring("b", 1, 7)).otherwise(F.concat(F.substring(F.lower(letters), 1, 4), F.substring(digits, 1, 3)))
     kinds = [  # value, before, after, label
         (F.substring(hexes, 1, 40), F.concat(prose, cue, sign), closing, 1),
         (F.substring(hexes, 1, 32), F.concat(prose, cue, sign), closing, 1),
@@ -127,6 +137,15 @@ def labelled_findings(spark: SparkSession, count: int = FINDINGS) -> DataFrame:
         (holder, F.concat(prose, cue, sign), closing, 0),
         (F.concat(F.substring(digits, 1, 3), F.lit("-"), F.substring(digits, 4, 13)), prose, F.lit(","), 0),
         (F.repeat(F.substring("h", 1, 4), 10), F.concat(prose, cue, sign), closing, 0),  # a dummy in a test path, a secret elsewhere
+        (F.concat(rule, key), prose, F.lit(" "), 1),
+        (F.concat(slug, way, key), prose, F.lit(" "), 1),
+        (F.substring(letters, 1, 40), prose, F.lit(" "), 1),
+        (short, F.concat(prose, cue, sign), closing, 1),
+        (F.when(F.col("r") % 3 == 0, F.initcap(long_word)).when(F.col("r") % 3 == 1, F.upper(long_word)).otherwise(long_word), prose, F.lit(" "), 0),
+        (slug, prose, F.lit(" "), 0),
+        (rule, prose, F.lit("\n"), 0),
+        (word(40), F.concat(prose, cue, sign), closing, 0),
+        (F.concat(slug, way, F.lit("v"), F.substring(digits, 1, 1), way, F.lit("20"), F.substring(digits, 2, 2)), prose, F.lit(" "), 0),
     ]
     plain = F.concat(F.lit("src"), (F.col("r") % 20).cast("string"))
     alike = F.array(*map(F.lit, ("tests/fixtures/config", "latest-news.org", "https://contest.example.com/docs/page", "examples/app", "demo.example.org", "test")))
@@ -171,7 +190,7 @@ def candidates(docs: DataFrame, doc_id: str, text: str, path: str) -> DataFrame:
         F.posexplode(F.transform("hits", lambda h, i: F.struct(h.alias("hit"), F.get("gaps", i).alias("gap"), F.get("gaps", i + 1)["start"].alias("after")))),
     )
     before = Window.partitionBy("uid").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    value = F.regexp_extract("col.hit", r"^(?i:" + NAMES + r")[\"']?\s{0,3}[:=]{1,2}\s{0,3}[\"']?([^\s\"'<>]{8,})$", 1)
+    value = F.regexp_extract("col.hit", r"^(?i:" + NAMES + r")[\"']?\s{0,3}[:=]{1,2}\s{0,3}[\"']?([^\s\"'<>]+)$", 1)
     rows = rows.withColumn("value", F.when(value == "", F.col("col.hit")).otherwise(value))
     shift = F.length("col.hit") - F.length("value")
     earlier = F.coalesce(F.sum(F.col("col.gap.n") + F.length("col.hit")).over(before), F.lit(0))

@@ -73,6 +73,17 @@ def test_a_path_alone_clears_no_secret(spark):
     assert {r["path"] for r in flags.where("tests = 1").collect()} == {"https://a.org/docs/page", "tests/fixtures/config", "examples/app"}
 
 
+def test_candidates_are_not_cut_before_the_forest(spark):
+    key, letters = "AKIA" + "7F3Q9D2B8K4M6XZ1", "qZxWvKjYpBgHtRmNcLdSfQwTzPkXbVhJ"
+    secret = ["=" * 80 + key, "/".join(["home", "user", "pages", "data", "section", "index", "value", "name"] * 2) + "/" + key, letters, "password = abc123"]
+    clean = ["=" * 80, "password: the", "Donaudampfschifffahrtsgesellschaft", "-".join(["page", "section", "index", "value", "name"] * 4)]
+    docs = spark.createDataFrame([(i, f"words and {t} then", "src1") for i, t in enumerate(secret + clean)], "doc_id long, text string, source string")
+    found = {r["doc_id"]: (r["value"], r["secret"]) for r in secrets.scan_secrets(docs).collect()}
+    values = [t.removeprefix("password = ").removeprefix("password: ") for t in secret + clean]
+    assert found == {i: (v, i < len(secret)) for i, v in enumerate(values)}
+    assert not any(v in r["text"] for r in secrets.redact_secrets(docs).collect() for v in (key, letters, "abc123"))
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
