@@ -417,10 +417,11 @@ def remove_repeats(
     several = found.groupBy("bucket").agg(F.sum("times").alias("total")).where("total > 1").select("bucket")
     # Most segments end here; what is left is kept, since all that follows starts from it.
     found = checkpoint(found.join(several, "bucket"))
-    distinct = found.groupBy(*key).agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "k1", "start", "n")).alias("place"))
+    distinct = found.groupBy(*key).agg(F.count("*").alias("copies"), F.max("times").alias("times"), F.min(F.struct("doc_id", "k1", "start", "n")).alias("place"))
     buckets = distinct.groupBy("bucket").agg(F.count("*").alias("kinds"), F.sum(F.col("place.n") + (length - 1)).alias("bytes"))
     repeated = distinct.join(buckets, "bucket")
-    mixed = repeated.where("NOT (kinds = 1 AND copies > 1)")
+    # Copies go whole, but for "first" one stays, and may repeat strings inside.
+    mixed = repeated.where("NOT (kinds = 1 AND copies > 1)" if keep == "none" else "NOT (kinds = 1 AND times = 1)")
 
     def same_row(a: str, b: str):
         return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.k1") == F.col(f"{b}.k1"))
@@ -431,12 +432,14 @@ def remove_repeats(
             .groupBy("doc_id", "k1")
             .agg(F.collect_set("w").alias("wanted"))
         )
-        return (
+        segments = (
             slim.alias("a")
             .join(wanted.alias("b"), same_row("a", "b"))
             .select("a.doc_id", "a.k1", "a.text", "b.wanted")
             .mapInArrow(_cut(length), f"bucket long, s1 long, s2 long, doc_id {kind}, k1 long, start int, bytes binary")
         )
+        # Rows with equal id and text each give the segment; for "first" it must not precede itself.
+        return segments if keep == "none" else segments.dropDuplicates(key)
 
     arrays = (
         fetch(mixed.where(F.col("bytes") <= array_bytes))

@@ -47,6 +47,18 @@ def test_against_brute_force(spark, monkeypatch, length, keep, array_bytes, piec
     assert sorted(tuple(r) for r in got.collect()) == brute(rows, length, keep)
 
 
+@pytest.mark.parametrize("array_bytes", [4_000_000, 60])
+def test_repeated_rows_keep_the_first(spark, array_bytes):
+    rng = random.Random(7)
+    some = lambda n: "".join(rng.choice("abc d") for _ in range(n))
+    common = [some(rng.randint(12, 50)) for _ in range(6)]
+    rows = [(i, "".join(rng.choice([some(rng.randint(1, 20)), rng.choice(common)]) for _ in range(rng.randint(2, 7)))) for i in range(40)]
+    rows += rows[::3] + rows[::6] + [(90, "ab" * 60), (90, "ab" * 60), (91, "qrstuvwxyz0123456789" * 4), (91, "qrstuvwxyz0123456789" * 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = m.remove_repeats(docs, 16, "first", array_bytes=array_bytes, with_text=False)
+    assert sorted(tuple(r) for r in got.collect()) == brute(rows, 16, "first")
+
+
 def test_kept_bytes(spark):
     docs = spark.createDataFrame([(1, "abcdefghij tail"), (2, "head abcdefghij")], "doc_id long, text string")
     assert {r["doc_id"]: bytes(r["kept"]) for r in m.remove_repeats(docs, 8).collect()} == {1: b"abcdefghij tail", 2: b"head "}
