@@ -48,7 +48,8 @@ STAGES = [
     ("SentencePiece encoding", encoding),
 ]
 
-#: SQL expresses neither the fitted models nor the encoder; the tests hold the stages against brute force.
+#: SQL expresses neither the fitted models nor the encoder.  The operators have tests of their own; of the chain,
+#: the tests hold columns, falling numbers of rows and run() against its stages one by one, not a brute-force version.
 ORACLE_SQL = None
 
 

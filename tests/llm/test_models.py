@@ -99,3 +99,13 @@ def test_pipeline_stages(spark, tmp_path):
         rows.append(docs.count())
     assert rows == sorted(rows, reverse=True) and rows[1] < rows[0] and rows[3] == rows[4] == rows[5]
     assert corpus_pipeline.run(spark, SMALL).count() == rows[-1]
+
+
+def test_pipeline_equals_its_stages(spark):
+    """run() gives the ids and tokens of the stages called one by one."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SMALL).localCheckpoint()
+    assert sorted(map(str, corpus_pipeline.run(spark, SMALL).collect())) == sorted(map(str, docs.collect()))
