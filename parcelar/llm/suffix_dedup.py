@@ -7,13 +7,17 @@ corpus fits on no machine, so equal windows are first brought together:
 1. The smallest 32-gram hash inside a window depends on the window's bytes alone.  Consecutive windows
    with the same smallest hash form a *segment*, about 600 bytes for 400-byte windows; equal windows
    lie in segments of the same smallest hash, their *bucket*.  Only hashes and offsets are shuffled.
-2. Buckets whose hash occurs once hold no repeat and are dropped.  A bucket with one distinct segment is a pure
-   copy.  For the others one copy of each distinct segment is fetched, and a suffix array over the
-   bucket's segments (several buckets at a time, a few MB) is built by prefix doubling.  Positions in
-   suffix order have a previous and a next smaller position, and the longer of the two common prefixes
-   is the longest previous factor; the mirrored array gives the longest next factor.
-3. A bucket beyond the memory bound of one suffix array is settled by counting its window digests,
-   which Spark combines before the shuffle, so no hot bucket has to fit anywhere.
+2. Buckets whose hash occurs once hold no repeat and are dropped.  Equal segments are one text with
+   several places: at all but the first, every window's previous factor is whole.  One copy of each distinct
+   segment is fetched, in the order of the documents, and a suffix array over whole buckets (a few MB at a
+   time) is built by prefix doubling.  Positions in suffix order have a nearest smaller position above and
+   below, and the longer of the two common prefixes is the longest previous factor; the nearest larger
+   positions give the longest next factor in the same way.  A window repeats an earlier one if its previous
+   factor is whole, and occurs elsewhere if one of the two is.
+3. The distinct segments of a bucket beyond the memory bound of one suffix array are split by hashes of
+   another seed, as documents are, up to ``LEVELS`` times: windows that share one smallest hash by chance
+   part, equal ones never do.  What is then still beyond the bound is settled by counting window
+   digests, which Spark combines before the shuffle, so no hot bucket has to fit anywhere.
 4. The removed ranges go back to the documents.
 """
 
@@ -34,6 +38,8 @@ from .common import bounded_batches, checkpoint, documents
 LENGTH = 400
 #: Bytes of one bucket's distinct segments, and of one suffix array.
 ARRAY_BYTES = 4_000_000
+#: Times that a bucket beyond that is split by hashes of another seed.
+LEVELS = 3
 #: Windows of a segment at most; longer runs are cut.
 RUN = 512
 #: Bytes of text that are hashed at a time.
@@ -41,7 +47,7 @@ PIECE = 1 << 20
 
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
-_SEGMENT = "doc_id {id}, k1 long, start int, n int, times int, bucket long, s1 long, s2 long"
+_SEGMENT = "doc_id {id}, k1 long, base int, start int, n int, times int, bucket long, s1 long, s2 long"
 
 
 def _gram(length: int) -> int:
@@ -49,9 +55,9 @@ def _gram(length: int) -> int:
     return 1 << min(5, max(0, length.bit_length() - 3))
 
 
-def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+def gram_hashes(data: np.ndarray, gram: int, seed: int = 0) -> np.ndarray:
     """Hash of the ``gram`` bytes from each place on."""
-    h = (data.astype(np.uint64) + np.uint64(1)) * _C1
+    h = (data.astype(np.uint64) + np.uint64(1 + 1024 * seed)) * _C1
     step = 1
     while step < gram:
         h = h[:-step] * _C2 + h[step:]
@@ -70,7 +76,7 @@ def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(m[: len(m) - (width - span)], m[width - span :]) if span < width else m
 
 
-def segments(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+def segments(data: np.ndarray, ends: np.ndarray, length: int, seed: int = 0) -> tuple[np.ndarray, ...]:
     """(start, n windows, bucket, times the bucket's gram occurs) of each segment of joined texts.
 
     ``ends`` has for each place where its text ends; no window crosses that.
@@ -78,7 +84,7 @@ def segments(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarra
     gram = _gram(length)
     if len(data) < length:
         return (np.zeros(0, np.int64),) * 4
-    h = gram_hashes(data, gram)
+    h = gram_hashes(data, gram, seed)
     m = sliding_min(h, length - gram + 1)
     at = np.arange(len(m))
     valid = at + length <= ends[: len(m)]
@@ -126,7 +132,9 @@ def _pieces(offsets: np.ndarray, length: int, size: int) -> Iterator[tuple[int,
         i = j
 
 
-def _find(length: int):
+def _find(length: int, seed: int):
+    """The segments of each text."""
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = _texts(batch["text"])
@@ -134,7 +142,7 @@ def _find(length: int):
                 part = data[lo:hi]
                 bounds = np.minimum(offsets[i + 1 : j + 1], hi) - lo
                 rows = np.repeat(np.arange(i, j), np.diff(np.concatenate([[0], bounds])))
-                starts, n, low, times = segments(part, np.repeat(bounds, np.diff(np.concatenate([[0], bounds]))), length)
+                starts, n, low, times = segments(part, np.repeat(bounds, np.diff(np.concatenate([[0], bounds]))), length, seed)
                 if not len(starts):
                     continue
                 whole = memoryview(part)
@@ -147,6 +155,7 @@ def _find(length: int):
                     [
                         batch["doc_id"].take(take),
                         batch["k1"].take(take),
+                        batch["base"].take(take),
                         pa.array((starts + lo - offsets[row]).astype(np.int32)),
                         pa.array(n.astype(np.int32)),
                         pa.array(times.astype(np.int32)),
@@ -154,7 +163,7 @@ def _find(length: int):
                         pa.array(digests[:, 0]),
                         pa.array(digests[:, 1]),
                     ],
-                    names=["doc_id", "k1", "start", "n", "times", "bucket", "s1", "s2"],
+                    names=["doc_id", "k1", "base", "start", "n", "times", "bucket", "s1", "s2"],
                 )
 
     return find
@@ -184,10 +193,10 @@ def _cut(length: int):
                         *(column[k].slice(i, j - i) for k in ("bucket", "s1", "s2")),
                         batch["doc_id"].take(take),
                         batch["k1"].take(take),
-                        column["start"].slice(i, j - i),
+                        pc.add(batch["base"].take(take), column["start"].slice(i, j - i)),
                         pa.array([whole[x:y].tobytes() for x, y in zip(lo[i:j].tolist(), hi[i:j].tolist())], pa.binary()),
                     ],
-                    names=["bucket", "s1", "s2", "doc_id", "k1", "start", "bytes"],
+                    names=["bucket", "s1", "s2", "doc_id", "k1", "base", "text"],
                 )
                 i = j
 
@@ -278,19 +287,18 @@ def _nearest(sa: np.ndarray, common: np.ndarray) -> np.ndarray:
 
 
 def longest_factors(data: np.ndarray, places: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Longest previous factor, and longest factor anywhere else, from each of ``places`` (ascending).
+    """Longest previous and longest next factor from each of ``places`` (ascending), capped at ``length``.
 
-    Both are capped at ``length``.  The previous factor is the longer of the common prefixes with the
-    nearest smaller positions above and below in suffix order; the longest one anywhere is the longer of
-    those with the two neighbours.
+    The previous factor is the longer of the common prefixes with the nearest smaller positions above and
+    below in suffix order, the next factor the same with the nearest larger ones.
     """
     sa, common = suffix_order(data, places, length)
     upwards = np.append(common[1:], 0)[::-1].astype(np.int32)  # the same order read from its end
     previous = np.maximum(_nearest(sa, common), _nearest(sa[::-1], upwards)[::-1])
-    anywhere = np.maximum(common, upwards[::-1])
+    following = np.maximum(_nearest(-sa, common), _nearest(-sa[::-1], upwards)[::-1])
     back = np.empty(len(sa), np.int64)
     back[np.searchsorted(places, sa)] = np.arange(len(sa))
-    return previous[back], anywhere[back]
+    return previous[back], following[back]
 
 
 def _runs(hit: np.ndarray, length: int) -> list[int]:
@@ -314,30 +322,29 @@ def _factor(length: int, array_bytes: int):
         base = np.cumsum(sizes) - sizes
         counts = sizes - length + 1
         places = np.repeat(base, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        previous, other = longest_factors(data, places, length)
-        earlier, anywhere = previous >= length, other >= length
+        previous, following = longest_factors(data, places, length)
+        later, anywhere = previous >= length, np.maximum(previous, following) >= length
         out, at = [], 0
         for r, k in zip(rows, counts.tolist()):
             if anywhere[at : at + k].any():
-                out.append((*r[:3], _runs(earlier[at : at + k], length), _runs(anywhere[at : at + k], length)))
+                out.append((*r[:3], _runs(anywhere[at : at + k], length), _runs(later[at : at + k], length)))
             at += k
         columns = list(zip(*out)) or [()] * 5
         ints = pa.list_(pa.int32())
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 3 + [ints] * 2)], names=["bucket", "s1", "s2", "earlier", "anywhere"]
-        )
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 3 + [ints] * 2)], names=["bucket", "s1", "s2", "anywhere", "later"])
 
     def factor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        held, last = 0, None
+        held = 0
         for batch in batches:
-            for r in zip(*(batch[k].to_pylist() for k in ("bucket", "s1", "s2", "bytes"))):
-                if held >= array_bytes // 2 and r[0] != last:
+            for r in zip(*(batch[k].to_pylist() for k in ("bucket", "s1", "s2", "text"))):
+                if rows and r[:3] == rows[-1][:3]:
+                    continue  # rows with equal id and text bring their segment once each
+                if held >= array_bytes // 2 and r[0] != rows[-1][0]:
                     yield settle(rows)
                     rows, held = [], 0
                 rows.append(r)
                 held += len(r[3])
-                last = r[0]
         if rows:
             yield settle(rows)
 
@@ -349,45 +356,119 @@ def _windows(length: int):
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, body in enumerate(batch["bytes"].to_pylist()):
+            for row, body in enumerate(batch["text"].to_pylist()):
                 n = len(body) - length + 1
                 whole = memoryview(body)
                 d = np.frombuffer(b"".join(xxhash.xxh3_128_digest(whole[i : i + length]) for i in range(n)), "<i8").reshape(-1, 2)
                 take = pa.array(np.full(n, row))
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch[k].take(take) for k in ("bucket", "s1", "s2", "doc_id", "k1", "start")), pa.array(np.arange(n, dtype=np.int32)), pa.array(d[:, 0]), pa.array(d[:, 1])],
-                    names=["bucket", "s1", "s2", "doc_id", "k1", "start", "i", "w1", "w2"],
+                    [*(batch[k].take(take) for k in ("bucket", "s1", "s2", "doc_id", "k1", "base")), pa.array(np.arange(n, dtype=np.int32)), pa.array(d[:, 0]), pa.array(d[:, 1])],
+                    names=["bucket", "s1", "s2", "doc_id", "k1", "base", "i", "w1", "w2"],
                 )
 
     return digest
 
 
-def _remove(length: int, with_text: bool):
+def _united(found: list[dict], kind: str) -> list[list[int]]:
+    """Maximal removed ranges of one text."""
+    merged: list[list[int]] = []
+    for a, b in sorted((f["start"] + p, f["start"] + q) for f in found for p, q in zip(f[kind][::2], f[kind][1::2])):
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(b, merged[-1][1])
+        else:
+            merged.append([a, b])
+    return merged
+
+
+def _remove(kind: str, with_text: bool):
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = _texts(batch["text"])
             whole = memoryview(data)
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], [], []]
             for i, found in enumerate(batch["ranges"].to_pylist()):
                 lo, n = int(offsets[i]), int(offsets[i + 1] - offsets[i])
-                merged: list[list[int]] = []
-                for a, b in sorted((f["start"] + p, f["start"] + q) for f in found or () for p, q in zip(f["cut"][::2], f["cut"][1::2])):
-                    if merged and a <= merged[-1][1]:
-                        merged[-1][1] = max(b, merged[-1][1])
-                    else:
-                        merged.append([a, b])
-                edges = [0, *(x for m in merged for x in m), n]
+                later = _united(found or [], "later")
+                gone = later if kind == "later" else _united(found or [], kind)
+                edges = [0, *(x for m in gone for x in m), n]
                 kept = b"".join(whole[lo + a : lo + b] for a, b in zip(edges[::2], edges[1::2]))
-                for c, v in zip(out, (n, n - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), kept if with_text else None)):
+                row = (n, n - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), sum(b - a for a, b in later), len(later), kept if with_text else None)
+                for c, v in zip(out, row):
                     c.append(v)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], *(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())))],
-                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
+                [batch["doc_id"], *map(pa.array, out, kinds)],
+                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_removed_later", "n_spans_later", "kept"],
             )
 
     return remove
 
 
+def _repeats(units: DataFrame, length: int, array_bytes: int, level: int = 0) -> DataFrame:
+    """``doc_id, k1, base, ranges``: repeated ranges of ``units (doc_id, k1, base, text)``.
+
+    A unit is the part of a document from byte ``base`` on; rows with equal ``(doc_id, k1, base)`` are equal.
+    A range has ``start`` in the unit and, from there, bounds of strings that occur ``anywhere`` else, and of
+    those with an earlier place (``later``).
+    """
+    kind = units.schema["doc_id"].dataType.simpleString()
+    key, unit = ["bucket", "s1", "s2"], ["doc_id", "k1", "base"]
+    found = checkpoint(units.where(F.octet_length("text") >= length).mapInArrow(_find(length, level), _SEGMENT.format(id=kind)))
+    # Totals are written before they are joined, so that adaptive execution can split a hot bucket's rows.
+    several = checkpoint(found.groupBy("bucket").agg(F.sum("times").alias("total")).where("total > 1").select("bucket"))
+    found = checkpoint(found.join(several, "bucket"))  # most segments end here
+    distinct = found.groupBy(*key).agg(F.count("*").alias("copies"), F.max("times").alias("times"), F.min(F.struct(*unit, "start", "n")).alias("place"))
+    totals = checkpoint(distinct.groupBy("bucket").agg(F.count("*").alias("kinds"), F.sum(F.col("place.n") + (length - 1)).alias("bytes")))
+    repeated = checkpoint(distinct.join(totals, "bucket"))
+    mixed = repeated.where("NOT (kinds = 1 AND times = 1)")  # others are copies without a repeat inside
+
+    def same(a: str, b: str, *columns: str):
+        on = F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id"))
+        for c in columns:
+            on = on & (F.col(f"{a}.{c}") == F.col(f"{b}.{c}"))
+        return on
+
+    def fetch(some: DataFrame) -> DataFrame:
+        """The bytes of distinct segments, as units of their first place."""
+        wanted = some.select("place.doc_id", "place.k1", "place.base", F.struct(*key, "place.start", "place.n").alias("w"))
+        wanted = wanted.groupBy(*unit).agg(F.collect_set("w").alias("wanted"))
+        rows = units.alias("a").join(wanted.alias("b"), same("a", "b", "k1", "base")).select("a.doc_id", "a.k1", "a.base", "a.text", "b.wanted")
+        return rows.mapInArrow(_cut(length), f"bucket long, s1 long, s2 long, doc_id {kind}, k1 long, base int, text binary")
+
+    settled = (
+        fetch(mixed.where(F.col("bytes") <= array_bytes))
+        .repartition("bucket")
+        .sortWithinPartitions("bucket", *unit, "s1", "s2")
+        .mapInArrow(_factor(length, array_bytes), "bucket long, s1 long, s2 long, anywhere array<int>, later array<int>")
+    )
+    hot = mixed.where(F.col("bytes") > array_bytes)
+    if not hot.isEmpty():
+        if level < LEVELS:
+            parts = _repeats(fetch(hot).select(*unit, "text"), length, array_bytes, level + 1)
+            owners = hot.select(*key, "place.doc_id", "place.k1", (F.col("place.base") + F.col("place.start")).alias("base"))
+            moved = lambda k: F.flatten(F.transform("b.ranges", lambda r: F.transform(r[k], lambda x: x + r["start"]))).alias(k)
+            rest = owners.alias("a").join(parts.alias("b"), same("a", "b", "k1", "base")).select(*(f"a.{k}" for k in key), moved("anywhere"), moved("later"))
+        else:
+            windows = fetch(hot).mapInArrow(_windows(length), f"bucket long, s1 long, s2 long, doc_id {kind}, k1 long, base int, i int, w1 long, w2 long")
+            order = F.struct("doc_id", "k1", (F.col("base") + F.col("i")).alias("at"))
+            twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("copies"), F.min(order).alias("lowest")).where("copies > 1")
+            here = F.array(F.col("i"), F.col("i") + length)
+            later = F.flatten(F.collect_set(F.when(~order.eqNullSafe(F.col("lowest")), here))).alias("later")
+            rest = windows.join(twice, ["w1", "w2"]).groupBy(*key).agg(F.flatten(F.collect_set(here)).alias("anywhere"), later)
+        settled = settled.unionByName(rest)
+    copied = repeated.where("copies > 1")
+    known = copied.select(*key, "place", F.expr(f"array(0, place.n + {length - 1})").alias("cut")).join(settled, key, "full")
+    known = checkpoint(known)  # again for the sake of hot segments
+    none = F.expr("cast(array() AS array<int>)")
+    first = same("place", "f", "k1", "base", "start")
+    cuts = found.alias("f").join(known, key).select(
+        "f.doc_id", "f.k1", "f.base", "f.start",
+        F.coalesce("cut", "anywhere").alias("anywhere"),
+        F.when(F.col("cut").isNotNull() & ~first, F.col("cut")).otherwise(F.coalesce("later", none)).alias("later"),
+    )
+    return cuts.groupBy(*unit).agg(F.collect_set(F.struct("start", "anywhere", "later")).alias("ranges"))
+
+
 def remove_repeats(
     docs: DataFrame,
     length: int = LENGTH,
@@ -397,10 +478,11 @@ def remove_repeats(
     array_bytes: int = ARRAY_BYTES,
     with_text: bool = True,
 ) -> DataFrame:
-    """One row per document row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes).
+    """One row per document row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_removed_later, n_spans_later, kept (bytes).
 
     ``keep="none"`` removes every copy of a repeated string, ``"first"`` all but the one that comes
-    first by ``(doc_id, row hash, offset)``.  A null text is empty; null ids sort first; texts shorter
+    first by ``(doc_id, row hash, offset)``; ``n_removed_later`` and ``n_spans_later`` say what ``"first"`` removes
+    in either case.  A null text is empty; null ids sort first; texts shorter
     than ``length`` stay whole; rows with equal id and text share a place in that order, so ``"first"``
     keeps the string in each of them; empty tables give empty tables; other columns are ignored,
     whatever their names.  ``kept`` is binary because a cut may fall inside a character.
@@ -412,76 +494,22 @@ def remove_repeats(
     )
     bounded_batches(docs.sparkSession)
     kind = slim.schema["doc_id"].dataType.simpleString()
-    key = ["bucket", "s1", "s2"]
-    found = slim.where(F.octet_length("text") >= length).mapInArrow(_find(length), _SEGMENT.format(id=kind))
-    several = found.groupBy("bucket").agg(F.sum("times").alias("total")).where("total > 1").select("bucket")
-    # Most segments end here; what is left is kept, since all that follows starts from it.
-    found = checkpoint(found.join(several, "bucket"))
-    distinct = found.groupBy(*key).agg(F.count("*").alias("copies"), F.max("times").alias("times"), F.min(F.struct("doc_id", "k1", "start", "n")).alias("place"))
-    buckets = distinct.groupBy("bucket").agg(F.count("*").alias("kinds"), F.sum(F.col("place.n") + (length - 1)).alias("bytes"))
-    repeated = distinct.join(buckets, "bucket")
-    # Copies go whole, but for "first" one stays, and may repeat strings inside.
-    mixed = repeated.where("NOT (kinds = 1 AND copies > 1)" if keep == "none" else "NOT (kinds = 1 AND times = 1)")
-
-    def same_row(a: str, b: str):
-        return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.k1") == F.col(f"{b}.k1"))
-
-    def fetch(some: DataFrame) -> DataFrame:
-        wanted = (
-            some.select("place.doc_id", "place.k1", F.struct(*key, "place.start", "place.n").alias("w"))
-            .groupBy("doc_id", "k1")
-            .agg(F.collect_set("w").alias("wanted"))
-        )
-        segments = (
-            slim.alias("a")
-            .join(wanted.alias("b"), same_row("a", "b"))
-            .select("a.doc_id", "a.k1", "a.text", "b.wanted")
-            .mapInArrow(_cut(length), f"bucket long, s1 long, s2 long, doc_id {kind}, k1 long, start int, bytes binary")
-        )
-        # Rows with equal id and text each give the segment; for "first" it must not precede itself.
-        return segments if keep == "none" else segments.dropDuplicates(key)
-
-    arrays = (
-        fetch(mixed.where(F.col("bytes") <= array_bytes))
-        .repartition("bucket")
-        .sortWithinPartitions("bucket", "doc_id", "k1", "start")
-        .mapInArrow(_factor(length, array_bytes), "bucket long, s1 long, s2 long, earlier array<int>, anywhere array<int>")
-    )
-    windows = fetch(mixed.where(F.col("bytes") > array_bytes)).mapInArrow(
-        _windows(length), f"bucket long, s1 long, s2 long, doc_id {kind}, k1 long, start int, i int, w1 long, w2 long"
-    )
-    order = F.struct("doc_id", "k1", (F.col("start") + F.col("i")).alias("at"))
-    twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("copies"), F.min(order).alias("lowest")).where("copies > 1")
-    here = F.array(F.col("i"), F.col("i") + length)
-    counted = (
-        windows.join(twice, ["w1", "w2"])
-        .groupBy(*key)
-        .agg(
-            F.flatten(F.collect_set(F.when(~order.eqNullSafe(F.col("lowest")), here))).alias("earlier"),
-            F.flatten(F.collect_set(here)).alias("anywhere"),
-        )
-    )
-    settled = arrays.unionByName(counted).select(
-        *key, F.col("earlier" if keep == "first" else "anywhere").alias("cut"), F.lit(None).cast(distinct.schema["place"].dataType).alias("place")
-    )
-    copied = repeated.where("copies > 1").select(*key, F.expr(f"array(0, place.n + {length - 1})").alias("cut"), "place")
-    known = settled.unionByName(copied).where(F.size("cut") > 0)
-    cuts = found.join(known, key)
-    if keep == "first":
-        lowest = F.col("place.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("place.k1") == F.col("k1")) & (F.col("place.start") == F.col("start"))
-        cuts = cuts.where(F.col("place").isNull() | ~lowest)
-    ranges = cuts.groupBy("doc_id", "k1").agg(F.collect_set(F.struct("start", "cut")).alias("ranges"))
+    ranges = _repeats(slim.select("doc_id", "k1", F.lit(0).alias("base"), "text"), length, array_bytes)
     out = (
         slim.alias("a")
-        .join(ranges.alias("b"), same_row("a", "b"), "left")
+        .join(ranges.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.k1") == F.col("b.k1")), "left")
         .select("a.doc_id", "a.text", "b.ranges")
-        .mapInArrow(_remove(length, with_text), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+        .mapInArrow(
+            _remove("later" if keep == "first" else "anywhere", with_text),
+            f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_removed_later long, n_spans_later long, kept binary",
+        )
     )
     return out if with_text else out.drop("kept")
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(documents(spark, sf_dir), LENGTH, keep="none", with_text=False)
+    found = remove_repeats(documents(spark, sf_dir), LENGTH, keep="none", with_text=False)
+    return found.withColumn("repeated", F.col("n_removed") > 0)
 
 
 #: Digests of all windows of all texts; for small tables.
@@ -489,21 +517,32 @@ SQL = r"""
 WITH d AS (
   SELECT doc_id, row_number() OVER () AS uid, encode(coalesce(text, '')) AS body FROM documents
 ), w AS (
-  SELECT uid, i, md5(body[i:i + 399]) AS h FROM (SELECT uid, body, unnest(range(1, octet_length(body) - 398)) AS i FROM d WHERE octet_length(body) >= 400)
+  SELECT uid, doc_id, i, md5(body[i:i + 399]) AS h
+  FROM (SELECT uid, doc_id, body, unnest(range(1, octet_length(body) - 398)) AS i FROM d WHERE octet_length(body) >= 400)
 ), twice AS (
-  SELECT h FROM w GROUP BY h HAVING count(*) > 1
+  SELECT h, min(struct_pack(doc_id := doc_id, i := i)) AS lowest FROM w GROUP BY h HAVING count(*) > 1
+), hits AS (
+  SELECT uid, i, kind FROM w JOIN twice USING (h), (VALUES ('any'), ('later')) k(kind)
+  WHERE kind = 'any' OR struct_pack(doc_id := doc_id, i := i) <> lowest
 ), hit AS (
-  SELECT uid, i, i - lag(i) OVER (PARTITION BY uid ORDER BY i) > 400 AS apart FROM w SEMI JOIN twice USING (h)
+  SELECT uid, kind, i, i - lag(i) OVER (PARTITION BY uid, kind ORDER BY i) > 400 AS apart FROM hits
+), spans AS (
+  SELECT uid, kind, min(i) AS a, max(i) + 400 AS b
+  FROM (SELECT uid, kind, i, count(*) FILTER (apart) OVER (PARTITION BY uid, kind ORDER BY i ROWS UNBOUNDED PRECEDING) AS nth FROM hit) GROUP BY uid, kind, nth
 ), span AS (
-  SELECT uid, min(i) AS a, max(i) + 400 AS b, nth
-  FROM (SELECT uid, i, count(*) FILTER (apart) OVER (PARTITION BY uid ORDER BY i ROWS UNBOUNDED PRECEDING) AS nth FROM hit) GROUP BY uid, nth
+  SELECT uid, a, b FROM spans WHERE kind = 'any'
+), later AS (
+  SELECT uid, sum(b - a)::BIGINT AS n, count(*) AS spans FROM spans WHERE kind = 'later' GROUP BY uid
 ), gap AS (
   SELECT uid, a, coalesce(lag(b) OVER (PARTITION BY uid ORDER BY a), 1) AS since FROM span
   UNION ALL SELECT d.uid, octet_length(body) + 1, coalesce((SELECT max(b) FROM span s WHERE s.uid = d.uid), 1) FROM d
 ), kept AS (
   SELECT uid, string_agg(hex(body[since:a - 1]), '' ORDER BY since) AS k FROM gap JOIN d USING (uid) WHERE a > since GROUP BY uid
+), counted AS (
+  SELECT doc_id, uid, octet_length(body)::BIGINT AS n_bytes, (octet_length(body) - coalesce(length(k), 0) // 2)::BIGINT AS n_removed,
+         (SELECT count(*) FROM span s WHERE s.uid = d.uid) AS n_spans, sha256(unhex(coalesce(k, ''))) AS kept_sha256
+  FROM d LEFT JOIN kept USING (uid)
 )
-SELECT doc_id, octet_length(body)::BIGINT AS n_bytes, (octet_length(body) - coalesce(length(k), 0) // 2)::BIGINT AS n_removed,
-       (SELECT count(*) FROM span s WHERE s.uid = d.uid) AS n_spans, sha256(unhex(coalesce(k, ''))) AS kept_sha256
-FROM d LEFT JOIN kept USING (uid)
+SELECT doc_id, n_bytes, n_removed, n_spans, kept_sha256, coalesce(n, 0) AS n_removed_later, coalesce(spans, 0) AS n_spans_later, n_removed > 0 AS repeated
+FROM counted LEFT JOIN later USING (uid)
 """

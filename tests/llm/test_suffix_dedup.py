@@ -19,14 +19,18 @@ def brute(rows, length, keep):
     out = []
     for d, t in rows:
         b = (t or "").encode()
-        gone = bytearray(len(b))
+        gone, later = bytearray(len(b)), bytearray(len(b))
         for i in range(len(b) - length + 1):
             found = places[b[i : i + length]]
-            if len(found) > 1 if keep == "none" else min(found) != (d, i):
+            if len(found) > 1:
                 gone[i : i + length] = b"\x01" * length
+            if min(found) != (d, i):
+                later[i : i + length] = b"\x01" * length
+        if keep == "first":
+            gone = later
         kept = bytes(x for x, g in zip(b, gone) if not g)
-        spans = sum(1 for i in range(len(b)) if gone[i] and not (i and gone[i - 1]))
-        out.append((d, len(b), len(b) - len(kept), spans, hashlib.sha256(kept).hexdigest()))
+        spans = lambda g: sum(1 for i in range(len(b)) if g[i] and not (i and g[i - 1]))
+        out.append((d, len(b), len(b) - len(kept), spans(gone), hashlib.sha256(kept).hexdigest(), sum(later), spans(later)))
     return sorted(out)
 
 
@@ -59,6 +63,21 @@ def test_repeated_rows_keep_the_first(spark, array_bytes):
     assert sorted(tuple(r) for r in got.collect()) == brute(rows, 16, "first")
 
 
+@pytest.mark.parametrize("levels", [0, 3])
+def test_a_hot_bucket_is_split(spark, monkeypatch, levels):
+    """Many texts around one phrase, which lends them its hash: split by other seeds, or counted at last."""
+    monkeypatch.setattr(m, "LEVELS", levels)
+    rng = random.Random(11)
+    some = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    phrase, copies = some(24), [some(40) for _ in range(4)]
+    rows = [(i, some(rng.randint(0, 30)) + phrase + rng.choice(copies)[: rng.randint(5, 40)] + some(rng.randint(0, 20))) for i in range(60)]
+    rows += rows[:5] + [(100 + i, t) for i, t in rows[:5]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for keep in ("none", "first"):
+        got = m.remove_repeats(docs, 32, keep, array_bytes=400, with_text=False)
+        assert sorted(tuple(r) for r in got.collect()) == brute(rows, 32, keep)
+
+
 def test_kept_bytes(spark):
     docs = spark.createDataFrame([(1, "abcdefghij tail"), (2, "head abcdefghij")], "doc_id long, text string")
     assert {r["doc_id"]: bytes(r["kept"]) for r in m.remove_repeats(docs, 8).collect()} == {1: b"abcdefghij tail", 2: b"head "}
@@ -70,7 +89,7 @@ def test_longest_factors(seed):
     data = np.frombuffer(bytes(random.choice(b"ab") for _ in range(300)), np.uint8)
     length = 24
     places = np.arange(0, 300 - length + 1)
-    previous, other = m.longest_factors(data, places, length)
+    previous, following = m.longest_factors(data, places, length)
     raw = data.tobytes()
 
     def common(i, j):
@@ -81,4 +100,4 @@ def test_longest_factors(seed):
 
     for i in places.tolist():
         assert previous[i] == max((common(i, j) for j in range(i)), default=0)
-        assert other[i] == max(common(i, j) for j in places.tolist() if j != i)
+        assert following[i] == max((common(i, j) for j in places.tolist() if j > i), default=0)
