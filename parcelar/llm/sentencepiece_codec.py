@@ -13,6 +13,12 @@ is decided for all candidates of a position at once, by undoing the merges of th
 order and looking for a merge across the boundary that would have come first.  Words for which the
 search doesn't find one single compatible piece (only with pieces that don't come from merges of their
 own parts, such as runs of marks) are merged by a heap, which is exact for every word.
+
+A word of more than ``LONG`` characters (scripts without blanks, minified code) is cut into overlapping parts
+of one length, which advance together like words.  Neighbouring parts are joined at a boundary that both
+have, where the two pieces are compatible; since neighbours decide, the joined path is the encoding of the
+whole.  If two parts have no such boundary, the heap merges the word.  A unigram model takes long words in
+one pass that looks back as far as its longest piece.
 """
 
 from __future__ import annotations
@@ -36,6 +42,8 @@ MARK = "▁"
 MEMORY, PIECE = 500_000, 3_000_000
 #: Characters of the words that one search holds at once.
 BATCH = 400_000
+#: Characters from which a word is cut into parts, those of a part, and those that neighbours share at least.
+LONG, PART, SHARED = 512, 256, 64
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _FAR = np.int64(1) << np.int64(40)
@@ -92,7 +100,7 @@ class Memory:
         own = [ids if ids is not None else new[w] for w, ids in zip(words, own)]
         if len(young) + len(words) > self.size // 2:
             self.old, self.young = young, {}
-        self.young.update(zip(words, own))
+        self.young.update((w, ids) for w, ids in zip(words, own) if len(w) <= LONG)
         return own
 
 
@@ -124,6 +132,7 @@ class Codec:
         inside = "".join(map(re.escape, known))
         self.cut = re.compile(f"{MARK}*[{inside}]+|{MARK}+|[^{inside}{MARK}]")
         self.known = set(known) | {MARK}
+        self.lengths = np.array([len(p) for p in self.pieces])
         # Bytes of each id, for decoding.
         text = [p.piece.replace(MARK, " ").encode() if p.type in (1, 4) else b"" for p in proto.pieces]
         for value, i in self.byte.items():
@@ -286,23 +295,76 @@ class Codec:
         """Ids of distinct words, as the model's regular expression cuts them."""
         found: dict[str, tuple[int, ...]] = {}
         groups: dict[int, list[str]] = {}
+        long = []
         for w in words:
             if len(w) == 1:
                 found[w] = tuple(self._spelled(w))
+            elif len(w) > LONG:
+                long.append(w)
             else:
                 groups.setdefault(len(w), []).append(w)
+        for w, ids in zip(long, self._long(long)):
+            found[w] = ids if ids is not None else self._whole(w)
         for n, group in groups.items():
             step = max(1, BATCH // n)
             for k in range(0, len(group), step):
                 part = group[k : k + step]
                 for w, ids in zip(part, self._search(part)):
-                    if ids is None:
-                        ids = tuple(chain.from_iterable(map(self._spelled, self._merge(w)[0]))) if self.bpe else self._with_unknown(w)
-                    found[w] = ids
+                    found[w] = ids if ids is not None else self._whole(w)
         return found
 
+    def _whole(self, word: str) -> tuple[int, ...]:
+        """Ids of any one word, without a batch."""
+        return tuple(chain.from_iterable(map(self._spelled, self._merge(word)[0]))) if self.bpe else self._with_unknown(word)
+
+    def _long(self, words: list[str]) -> list[tuple[int, ...] | None]:
+        """Ids of long words by joined parts; None where that gives no answer."""
+        if not self.bpe:
+            return [None] * len(words)
+        begins = [[*range(0, len(w) - PART, PART - SHARED), len(w) - PART] for w in words]
+        parts = [w[b : b + PART] for w, own in zip(words, begins) for b in own]
+        distinct = list(dict.fromkeys(parts))
+        known: dict[str, tuple[int, ...] | None] = {}
+        step = max(1, BATCH // PART)
+        for k in range(0, len(distinct), step):
+            known.update(zip(distinct[k : k + step], self._search(distinct[k : k + step])))
+        out, at = [], 0
+        for own in begins:
+            out.append(self._joined(own, [known[p] for p in parts[at : at + len(own)]]))
+            at += len(own)
+        return out
+
+    def _joined(self, begins: list[int], parts: list[tuple[int, ...] | None]) -> tuple[int, ...] | None:
+        if any(p is None for p in parts):
+            return None
+        ids = [np.array(p, np.int64) for p in parts]
+        ends = [b + np.cumsum(self.lengths[i]) for b, i in zip(begins, ids)]
+        left, right, pair = [], [], []  # boundaries that part n and part n + 1 have in common
+        for n, b in enumerate(begins[1:]):
+            starts = np.append(b, ends[n + 1][:-1])
+            _, x, y = np.intersect1d(ends[n], starts, assume_unique=True, return_indices=True)
+            left.append(x)
+            right.append(y)
+            pair.append(np.full(len(x), n))
+        x, y, n = map(np.concatenate, (left, right, pair))
+        before = np.concatenate(ids)[(np.cumsum([0, *map(len, ids)])[n] + x)]
+        after = np.concatenate(ids)[(np.cumsum([0, *map(len, ids)])[n + 1] + y)]
+        good = self.compatible(before, after)
+        x, y, n = x[good], y[good], n[good]
+        out, begin = [], 0
+        for k in range(len(parts) - 1):
+            a, b = np.searchsorted(n, [k, k + 1])
+            a += np.searchsorted(x[a:b], begin)  # not before the boundary with the part before
+            if a >= b:
+                return None
+            mid = (a + b) // 2
+            out.append(ids[k][begin : x[mid] + 1])
+            begin = y[mid]
+        out.append(ids[-1][begin:])
+        return tuple(np.concatenate(out).tolist())
+
     def _with_unknown(self, word: str) -> tuple[int, ...]:
-        """Unigram search for a word in which some character is not a piece by itself."""
+        """Unigram search for one word, in which some character may not be a piece by itself."""
         least = min(self.scores[i] for i in self.ids.values()) - 10
         best: list[tuple[float, int]] = [(0.0, 0)]
         for e in range(1, len(word) + 1):

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import sentencepiece
@@ -56,6 +57,39 @@ def test_search_answers_most_words_itself():
     assert all(ids is not None for ids in own._search(words))
 
 
+def test_long_words_equal_the_library():
+    own, library = codec.Codec(model()), sentencepiece.SentencePieceProcessor(model_proto=model())
+    draw = random.Random(4)
+    some = lambda letters, n: "".join(draw.choice(letters) for _ in range(n))
+    letters, han = "abcdefghijklmnopqrstuvwxyz", "的一是不了人我在有他这中大来上国"
+    prose = "".join(random.Random(8).choices(["the", "ing", "and", "tion", "er", "un", "qu", "est", "word"], k=4000))
+    words = [
+        "x" * 60_000, "ab" * 5000, "abc" * 700, some(letters, 20_000), some(letters + letters.upper() + "0123456789+/", 30_000), some(han, 5000), prose,
+        some("01", 3000), "=" * 2000, *(some(letters, 505 + i) for i in range(40)), *(prose[:n] for n in (511, 512, 513, 767, 768)),
+    ]
+    ids, counts = own.encode(words, codec.Memory(500))
+    assert split(ids, counts) == library.encode(words)
+    assert sum(x is not None for x in own._long([codec.MARK + w for w in words if len(w) > 600])) > 5
+
+
+def test_a_megabyte_without_a_blank():
+    own, library = codec.Codec(model()), sentencepiece.SentencePieceProcessor(model_proto=model())
+    draw = random.Random(6)
+    word = "".join(draw.choices("abcdefghijklmnopqrstuvwxyzABCDEFGH0123456789", k=1_000_000))
+    began = time.perf_counter()
+    ids, _ = own.encode([word], codec.Memory())
+    assert time.perf_counter() - began < 30  # about six here
+    assert ids.tolist() == library.encode(word)
+
+
+def test_long_unigram_words():
+    raw = model(1)
+    own, library = codec.Codec(raw), sentencepiece.SentencePieceProcessor(model_proto=raw)
+    word = "".join(random.Random(9).choices("abcdefghij", k=3000))
+    ids, _ = own.encode([word], codec.Memory())
+    assert abs(own.scores[ids].sum() - own.scores[library.encode(word)].sum()) < 0.5
+
+
 def test_unigram_scores_equal_the_library(spark):
     """Equal scores can be split in several ways, so scores are compared, to single precision."""
     texts = [t for t in samples(spark) if len(t) < 200]
