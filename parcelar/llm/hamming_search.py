@@ -7,15 +7,20 @@ neighbours within m * (s + 1) - 1 bits are known, since nothing that is still un
 
 Equal codes are one entry of the index, with their k smallest ids, and equal queries one query, so a
 common vector costs no more than a rare one.  The index is grouped by segment and the high bits of its
-value; a probe goes to the groups at a high-bit distance a <= s and enumerates the low bits at distance
-s - a there.  Groups beyond a bound are split by a hash of the code, and their probes go to each part.
+value; a probe goes to the groups at a high-bit distance a <= s and looks for the low bits at distance
+s - a there: by enumerating them, or, where they are more than the group's entries, by comparing those.
+Groups beyond a bound are split by a hash of the code, and their probes go to each part.  The high-bit
+moves are a table of 2^16 rows at most, which is broadcast.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
+from math import comb
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,12 +28,12 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, checkpoint
 
 K = 10
-#: Low bits of a segment that are enumerated inside a group.
-LOW = 8
+#: High bits of a segment that name its group, by the width of a segment.
+HIGH = {16: 8, 32: 16}
 #: Index entries of a group part at most (about), and rows that are searched at once.
 GROUP, CHUNK = 20_000, 60_000
-#: Distinct codes up to which segments have 16 bits; beyond that they have 32.
-NARROW = 1 << 22
+#: Vectors from which segments have 32 bits and not 16, so that a looked-up value has few entries; either is exact.
+WIDE = 1 << 22
 
 
 def sign_code(vector: Column, bits: int, width: int) -> Column:
@@ -46,39 +51,59 @@ def sign_code(vector: Column, bits: int, width: int) -> Column:
     return F.when((F.size(vector) == bits) & ~F.exists(vector, lambda x: x.isNull()), F.array(*segments))
 
 
-def _masks(width: int, distance: int) -> list[int]:
-    from itertools import combinations
+def _masks(width: int, distance: int) -> np.ndarray:
+    """All numbers of ``width`` bits of which ``distance`` are set."""
+    out = np.zeros(0 if distance else 1, np.int64)
+    if distance:
+        out = np.fromiter((sum(1 << b for b in bits) for bits in combinations(range(width), distance)), np.int64)
+    return out
 
-    return [sum(1 << b for b in bits) for bits in combinations(range(width), distance)]
 
+def _probe(k: int, low: int):
+    masks: dict[int, np.ndarray] = {}
 
-def _probe(k: int):
-    low = [np.array(_masks(LOW, d), np.int64) for d in range(LOW + 1)]
+    def mask(distance: int) -> np.ndarray:
+        if distance not in masks:
+            masks[distance] = _masks(low, distance)
+        return masks[distance]
 
     def search(table: dict[str, np.ndarray], codes: np.ndarray) -> pa.RecordBatch:
         """Index entries (rest < 0) and probes of whole groups together."""
         entry = np.flatnonzero(table["rest"] < 0)
         probe = np.flatnonzero(table["rest"] >= 0)
-        group = np.cumsum(table["start"]) << LOW
+        group = np.cumsum(table["start"]) << low
         rows = np.arange(len(group))
-        key = group + (codes[rows, table["j"]] & ((1 << LOW) - 1))
+        key = group + (codes[rows, table["j"]] & ((1 << low) - 1))
         sorted_entry = entry[np.argsort(key[entry], kind="stable")]
         keys = key[sorted_entry]
+        begin, end = np.searchsorted(keys, group, "left"), np.searchsorted(keys, group + (1 << low), "left")
         found: list[np.ndarray] = []
+
+        def verify(part: np.ndarray, a: np.ndarray, n: np.ndarray) -> None:
+            """Compares each of ``part`` with the ``n`` sorted entries from ``a`` on."""
+            upto = np.cumsum(n)
+            for lo, hi in _cuts(upto, 500_000):
+                m = n[lo:hi]
+                who = np.repeat(part[lo:hi], m)
+                other = sorted_entry[np.repeat(a[lo:hi] - (np.cumsum(m) - m), m) + np.arange(m.sum())]
+                distance = np.bitwise_count(codes[who] ^ codes[other]).sum(axis=1, dtype=np.int64)
+                found.append(_best(codes, table["first"], who, other, distance, k))
+
         for d in np.unique(table["rest"][probe]).tolist():
             mine = probe[table["rest"][probe] == d]
-            step = max(1, 500_000 // len(low[d]))
+            size = end[mine] - begin[mine]
+            enumerated = comb(low, d) <= size
+            rest = mine[~enumerated]
+            verify(rest, begin[rest], size[~enumerated])  # a few entries too far in this segment do no harm
+            mine = mine[enumerated]
+            step = max(1, 500_000 // comb(low, d))
             for at in range(0, len(mine), step):
                 part = mine[at : at + step]
-                wanted = (key[part][:, None] ^ low[d][None, :]).ravel()
-                a, b = np.searchsorted(keys, wanted, "left"), np.searchsorted(keys, wanted, "right")
-                n = b - a
+                wanted = (key[part][:, None] ^ mask(d)[None, :]).ravel()
+                a = np.searchsorted(keys, wanted, "left")
+                n = np.searchsorted(keys, wanted, "right") - a
                 hit = n > 0
-                who = np.repeat(np.repeat(part, len(low[d]))[hit], n[hit])
-                where = np.repeat(a[hit] - (np.cumsum(n[hit]) - n[hit]), n[hit]) + np.arange(n.sum())
-                other = sorted_entry[where]
-                distance = np.bitwise_count(codes[who] ^ codes[other]).sum(axis=1, dtype=np.int64)
-                found.append(_best(codes, table["first"], who, other, distance, k))
+                verify(np.repeat(part, len(mask(d)))[hit], a[hit], n[hit])
         pairs = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
         pairs = _best(codes, table["first"], pairs[:, 0], pairs[:, 1], pairs[:, 2], k)
         who, other = pairs[:, 0], pairs[:, 1]
@@ -120,6 +145,15 @@ def _probe(k: int):
     return probed
 
 
+def _cuts(upto: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """Ranges whose running total grows by ``size`` at most, or single items."""
+    i = 0
+    while i < len(upto):
+        j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + size, side="right")))
+        yield i, j
+        i = j
+
+
 def _best(codes: np.ndarray, first: np.ndarray, who: np.ndarray, other: np.ndarray, distance: np.ndarray, k: int) -> np.ndarray:
     """The k nearest different codes of each query, by (distance, smallest id)."""
     if not len(who):
@@ -146,7 +180,8 @@ def hamming_top_k(entries: DataFrame, queries: DataFrame, bits: int, width: int,
     spark = entries.sparkSession
     bounded_batches(spark)
     m = -(-bits // width)
-    high = max(1, width - LOW)
+    high = HIGH.get(width, max(1, width // 2))
+    low = width - high
     entries = entries.where("id IS NOT NULL AND code IS NOT NULL").select("id", "code").distinct()
     queries = queries.where("id IS NOT NULL AND code IS NOT NULL").select("id", "code").distinct()
     # Only k ids of a code can matter; the limit is taken before the shuffle as well.
@@ -154,7 +189,7 @@ def hamming_top_k(entries: DataFrame, queries: DataFrame, bits: int, width: int,
     kept = entries.withColumn("nth", nth).where(F.col("nth") <= k).drop("nth")
     index = checkpoint(kept.groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids")))
     spread = index.select("code", F.col("ids")[0].alias("first"), F.size("ids").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("j"))
-    spread = spread.withColumn("hi", F.shiftright(F.col("code")[F.col("j")], LOW))
+    spread = spread.withColumn("hi", F.shiftright(F.col("code")[F.col("j")], low))
     sizes = checkpoint(spread.groupBy("j", "hi").agg(F.ceil(F.count("*") / group).cast("int").alias("parts")))
     placed = spread.join(sizes, ["j", "hi"]).select(
         "j", "hi", F.expr("cast(pmod(xxhash64(code), parts) AS int)").alias("part"), F.lit(-1).alias("rest"), "code", "first", "n"
@@ -163,14 +198,15 @@ def hamming_top_k(entries: DataFrame, queries: DataFrame, bits: int, width: int,
     best = spark.createDataFrame([], "query array<bigint>, code array<bigint>, first bigint, n int, distance int")
     nearest = F.row_number().over(Window.partitionBy("query").orderBy("distance", "first", "code"))
     for s in range(width + 1):
-        moves = [(mask, s - a) for a in range(max(0, s - LOW), min(high, s) + 1) for mask in _masks(high, a)]
+        moves = [(int(x), s - a) for a in range(max(0, s - low), min(high, s) + 1) for x in _masks(high, a)]
         if not moves:
             break
-        move = F.array(*(F.struct(F.lit(x).cast("long").alias("mask"), F.lit(r).alias("rest")) for x, r in moves))
+        table = pd.DataFrame([(j, x, r) for x, r in moves for j in range(m)], columns=["j", "mask", "rest"])  # 2^high * m rows at most
+        move = F.broadcast(spark.createDataFrame(table, "j int, mask long, rest int"))
         asked = (
             open_queries.select("query", F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("j"))
-            .select("query", "j", F.explode(move).alias("move"))
-            .select("query", "j", F.shiftright(F.col("query")[F.col("j")], LOW).bitwiseXOR(F.col("move.mask")).alias("hi"), F.col("move.rest").alias("rest"))
+            .join(move, "j")
+            .select("query", "j", F.shiftright(F.col("query")[F.col("j")], low).bitwiseXOR(F.col("mask")).alias("hi"), "rest")
             .join(sizes, ["j", "hi"])
             .select("j", "hi", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), "rest", F.col("query").alias("code"), F.lit(0).cast("long").alias("first"), F.lit(0).alias("n"))
         )
@@ -178,7 +214,7 @@ def hamming_top_k(entries: DataFrame, queries: DataFrame, bits: int, width: int,
             placed.unionByName(asked)
             .repartition("j", "hi", "part")
             .sortWithinPartitions("j", "hi", "part")
-            .mapInArrow(_probe(k), "query array<bigint>, code array<bigint>, first long, n int, distance int")
+            .mapInArrow(_probe(k, low), "query array<bigint>, code array<bigint>, first long, n int, distance int")
         )
         # Codes found before come again only through other segments.
         both = best.unionByName(found).groupBy("query", "code").agg(F.min("first").alias("first"), F.min("n").alias("n"), F.min("distance").alias("distance"))
@@ -194,9 +230,9 @@ def hamming_top_k(entries: DataFrame, queries: DataFrame, bits: int, width: int,
     return top.join(queries.withColumnRenamed("code", "query"), "query").select(F.col("id").alias("query_id"), "rank", "neighbour_id", "distance")
 
 
-def top_k_vectors(vectors: DataFrame, queries: DataFrame, bits: int, k: int = K, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def top_k_vectors(vectors: DataFrame, queries: DataFrame, bits: int, k: int = K, id: str = "vec_id", vector: str = "embedding", wide: int = WIDE) -> DataFrame:
     """:func:`hamming_top_k` over the sign codes of vectors of ``bits`` components."""
-    width = 16 if vectors.count() <= NARROW else 32
+    width = 16 if vectors.count() < wide else 32
     coded = lambda df: df.select(F.col(id).cast("long").alias("id"), sign_code(F.col(vector), bits, width).alias("code"))
     return hamming_top_k(coded(vectors), coded(queries), bits, width, k)
 
