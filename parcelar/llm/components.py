@@ -7,15 +7,25 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint
 
+#: Parts into which the edges of one node are dealt where they meet its minimum.
+SALTS = 16
+
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` for every node of ``edges (u long, v long)`` that isn't the smallest of its component.
 
     Each step replaces edges by edges to the smallest neighbour, until every component is a star around
     its smallest node; the number of steps grows with the logarithm of a component's size.  Only minima
-    are taken per node, which Spark combines before it shuffles, and each step is checkpointed.  Loops
+    are taken per node, which Spark combines before it shuffles, and each step is checkpointed.  The edges of
+    a node meet its minimum in ``SALTS`` parts, so the centre of a large star isn't one task's work.  Loops
     and repeated edges do no harm; no edges give no rows.
     """
+    salts = F.explode(F.expr(f"sequence(0, {SALTS - 1})")).alias("salt")
+
+    def meet(some: DataFrame, least: DataFrame) -> DataFrame:
+        salted = some.withColumn("salt", F.expr(f"cast(pmod(xxhash64(v), {SALTS}) AS int)"))
+        return salted.join(least.select("u", "m", salts), ["u", "salt"])
+
     now = checkpoint(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
     while True:
@@ -25,7 +35,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         before = state
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = meet(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = meet(large, least).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = checkpoint(small.union(least.select("u", F.col("m").alias("v"))).distinct())

@@ -1,18 +1,20 @@
 """Similarity self-join on word n-gram Jaccard with Bayesian candidate pruning.
 
 1. Every text gets a MinHash signature; groups (bands) of its values are bucket keys.  With 32 bands of
-   5 values a pair of similarity 0.8 shares no key with probability 3e-6, one of 0.9 with 4e-13.
-   Equal texts are one node from here on, so copies never meet each other.
+   5 values a pair of similarity 0.8 shares no key with probability 3e-6, one of 0.9 with 4e-13.  A pair is
+   compared if, and only if, it shares a key.  Equal texts are one node from here on, so copies never meet.
 2. Texts of one bucket are tied to its smallest text, and the ties' connected components are the
    candidate groups: all pairs that share a key lie inside one.  Where a component is large but its
    buckets are small (a chain of texts that only share passages), the buckets themselves are the groups,
-   and a pair counts in the first bucket that it shares; the cheaper way is chosen by counted pairs.
-3. A group is cut into blocks of bounded size; each pair of blocks is a tile of its own.  In a tile the
-   signatures of all pairs are compared a few values at a time.  After m of n values agreed, with a
-   uniform prior on the similarity s, s has a Beta(m + 1, n - m + 1) posterior; a pair is dropped as soon
-   as the posterior probability of s >= threshold is below the tolerance.  What is left is verified with
-   exact set intersections.  Pairs are never written out: a tile returns a count of links for each text
-   and the text's cluster inside the tile.
+   and a pair counts in the first bucket that it shares; the cheaper way is chosen by counted pairs, and
+   both compare the same pairs.
+3. A group is cut into blocks of bounded size; each pair of blocks is a tile of its own.  A text goes to its
+   tiles as its difference from the group's first text, which near copies hardly have, or as its n-grams where
+   these are fewer.  In a tile the signatures of all pairs are compared a few values at a time.  After m of n
+   values agreed, with a uniform prior on the similarity s, s has a Beta(m + 1, n - m + 1) posterior; a pair is
+   dropped as soon as the posterior probability of s >= threshold is below the tolerance.  What is left and
+   shares a key is verified with exact set intersections.  Pairs are never written out: a tile returns a
+   count of links for each text and the text's cluster inside the tile.
 4. Counts are summed, clusters are joined over tiles, and both go back to the documents.
 """
 
@@ -20,7 +22,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -180,10 +183,16 @@ def _loaded(n: int, values: int):
 
 
 def similar(
-    sets: list[np.ndarray], signed: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float, looks: list[tuple[int, int]]
+    sets: list[Grams],
+    signed: np.ndarray,
+    left: np.ndarray,
+    right: np.ndarray,
+    threshold: float,
+    looks: list[tuple[int, int]],
+    chosen: Callable[[np.ndarray], np.ndarray],
 ) -> np.ndarray:
-    """Pairs (rows of indexes a < b) between ``left`` and ``right`` whose similarity reaches ``threshold``."""
-    sizes = np.array([len(s) for s in sets])
+    """Pairs (rows of indexes a < b) between ``left`` and ``right`` that are ``chosen`` and reach ``threshold``."""
+    sizes = np.array([s.size for s in sets])
     alive: list[np.ndarray] = []
     for lo in range(0, len(left), 256):
         rows = left[lo : lo + 256]
@@ -206,38 +215,91 @@ def similar(
     # The smaller set must be large enough, whatever the signatures say.
     small, large = np.minimum(sizes[pairs[:, 0]], sizes[pairs[:, 1]]), np.maximum(sizes[pairs[:, 0]], sizes[pairs[:, 1]])
     pairs = pairs[small >= threshold * large - 1e-9]
+    if len(pairs):
+        pairs = pairs[chosen(pairs)]
     if not len(pairs):
         return pairs
     return pairs[_jaccard(sets, sizes, pairs) >= threshold - 1e-12]
 
 
-def _jaccard(sets: list[np.ndarray], sizes: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    """Exact similarity of each pair."""
-    if len(pairs) <= 4:
-        both = np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in pairs.tolist()])
+class Grams(NamedTuple):
+    """The n-grams of a text, sorted: as its difference from the group's first text, or written out.
+
+    ``less`` are the first text's n-grams that this one lacks (None: written out), ``more`` are its others (all of
+    its own).  ``base`` is the number of the first text's, ``common`` of those that this one has.
+    """
+
+    size: int
+    base: int
+    common: int
+    less: np.ndarray | None
+    more: np.ndarray
+
+
+def _jaccard(sets: list[Grams], sizes: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Exact similarity of each pair.
+
+    With F for the first text, two differences have |F| - |lessA| - |lessB| + |lessA n lessB| + |moreA n moreB| in
+    common, a difference and a text that is written out |F n B| - |lessA n B| + |moreA n B|.
+    """
+    used = np.unique(pairs)
+    spot = np.zeros(len(sets), np.int64)
+    spot[used] = np.arange(len(used))
+    own = [sets[i] for i in used.tolist()]
+    left, right = spot[pairs[:, 0]], spot[pairs[:, 1]]
+    more = _shared([s.more for s in own], left, right)
+    near = np.array([s.less is not None for s in own])
+    if near.any():
+        less = _shared([s.more if s.less is None else s.less for s in own], left, right)
+        common, base = np.array([s.common for s in own]), own[0].base
+        two = near[left] & near[right]
+        one = near[left] ^ near[right]
+        written = np.where(near[left], right, left)
+        both = np.where(two, common[left] + common[right] - base + less + more, np.where(one, common[written] - less + more, more))
     else:
-        used = np.unique(pairs)
-        spot = np.zeros(len(sets), np.int64)
-        spot[used] = np.arange(len(used))
-        owner = np.repeat(np.arange(len(used)), sizes[used])
-        grams, column = np.unique(np.concatenate([sets[i] for i in used.tolist()]), return_inverse=True)
-        shared = np.bincount(column, minlength=len(grams)) > 1  # others can't be in an intersection
-        number = np.cumsum(shared) - 1
-        keep = shared[column]
-        owner, column = owner[keep], number[column[keep]]
-        order = np.argsort(column, kind="stable")
-        owner, column = owner[order], column[order]
-        width = max(1, min(8192, 16_000_000 // max(1, len(used))))
-        common = np.zeros((len(used), len(used)), np.float32)
-        for lo in range(0, int(shared.sum()), width):
-            a, b = np.searchsorted(column, [lo, lo + width])
-            has = np.zeros((len(used), width), np.float32)
-            has[owner[a:b], column[a:b] - lo] = 1
-            common += has @ has.T
-        both = common[spot[pairs[:, 0]], spot[pairs[:, 1]]]
+        both = more
     return both / (sizes[pairs[:, 0]] + sizes[pairs[:, 1]] - both)
 
 
+def _differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's n-grams as the difference from its group's first text, where that is shorter."""
+    for batch in batches:
+        columns: list[list] = [[], [], [], [], []]
+        for grams, first in zip(batch["grams"], batch["first"]):
+            own, base = (np.frombuffer(x.as_buffer(), np.uint64) for x in (grams, first))
+            common = np.intersect1d(own, base, assume_unique=True)
+            less, more = np.setdiff1d(base, common, assume_unique=True), np.setdiff1d(own, common, assume_unique=True)
+            near = len(less) + len(more) < len(own)
+            row = (len(own), len(base), len(common), less.tobytes() if near else None, more.tobytes() if near else grams.as_py())
+            for c, v in zip(columns, row):
+                c.append(v)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        names = [c for c in batch.schema.names if c not in ("grams", "first")]
+        yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), *map(pa.array, columns, kinds)], names=[*names, "size", "base", "common", "less", "more"])
+
+
+def _shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Size of the intersection of each pair of sorted sets."""
+    if len(left) <= 4:
+        return np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(left.tolist(), right.tolist())])
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    grams, column = np.unique(np.concatenate(sets), return_inverse=True)
+    shared = np.bincount(column, minlength=len(grams)) > 1  # others can't be in an intersection
+    number = np.cumsum(shared) - 1
+    keep = shared[column]
+    owner, column = owner[keep], number[column[keep]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    width = max(1, min(8192, 16_000_000 // max(1, len(sets))))
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    for lo in range(0, int(shared.sum()), width):
+        a, b = np.searchsorted(column, [lo, lo + width])
+        has = np.zeros((len(sets), width), np.float32)
+        has[owner[a:b], column[a:b] - lo] = 1
+        common += has @ has.T
+    return common[left, right].astype(np.int64)
+
+
 def _clusters(count: int, pairs: np.ndarray) -> np.ndarray:
     """Smallest index of each item's cluster."""
     label = np.arange(count)
@@ -253,26 +315,36 @@ def _clusters(count: int, pairs: np.ndarray) -> np.ndarray:
     return label
 
 
-def _first_shared(signed: np.ndarray, pairs: np.ndarray, key: int, count: int, rows: int) -> np.ndarray:
-    """Whether the bucket ``key`` is the first that each pair shares."""
+def _compared(signed: np.ndarray, bucket: int | None, count: int, rows: int) -> Callable[[np.ndarray], np.ndarray]:
+    """Whether each pair is one to compare here: it shares a bucket, and ``bucket``, if given, is the first of them."""
     keys = bands(signed, count, rows)
-    here = int(np.flatnonzero((keys == key).all(axis=0))[0])
-    return ~(keys[pairs[:, 0], :here] == keys[pairs[:, 1], :here]).any(axis=1)
+    here = count if bucket is None else int(np.flatnonzero((keys == bucket).all(axis=0))[0])
+
+    def chosen(pairs: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(pairs), bool)
+        for lo in range(0, len(pairs), 65536):
+            part = pairs[lo : lo + 65536]
+            out[lo : lo + 65536] = (keys[part[:, 0], :here] == keys[part[:, 1], :here]).any(axis=1)
+        return out if bucket is None else ~out
+
+    return chosen
 
 
 def _tiled(threshold: float, looks: list[tuple[int, int]], count: int, band_rows: int):
+    def grams(r: dict) -> Grams:
+        less = None if r["less"] is None else np.frombuffer(r["less"], np.uint64)
+        return Grams(r["size"], r["base"], r["common"], less, np.frombuffer(r["more"], np.uint64))
+
     def settle(rows: list[dict]) -> pa.RecordBatch:
         ids = np.array([r["t"] for r in rows], np.int64)
-        sets = [np.frombuffer(r["grams"], np.uint64) for r in rows]
         signed = np.stack([np.frombuffer(r["signature"], np.uint32) for r in rows])
         own = np.array([r["block"] for r in rows])
         if rows[0]["lo"] == rows[0]["hi"]:
             left = right = np.arange(len(rows))
         else:
             left, right = np.flatnonzero(own == rows[0]["lo"]), np.flatnonzero(own == rows[0]["hi"])
-        pairs = similar(sets, signed, left, right, threshold, looks)
-        if rows[0]["bucket"] and len(pairs):
-            pairs = pairs[_first_shared(signed, pairs, rows[0]["group"], count, band_rows)]
+        chosen = _compared(signed, rows[0]["group"] if rows[0]["bucket"] else None, count, band_rows)
+        pairs = similar(list(map(grams, rows)), signed, left, right, threshold, looks, chosen)
         links = np.bincount(pairs.ravel(), minlength=len(rows))
         roots = ids[_clusters(len(rows), pairs)]
         hit = links > 0
@@ -307,12 +379,12 @@ def text_classes(
 ) -> DataFrame:
     """One row per different text of ``slim (doc_id, text, t)``: t, first, n_copies, class, n_links."""
     bounded_batches(slim.sparkSession)
-    bounded_batches(slim.sparkSession)
     values = n_bands * n_rows
-    keyed = slim.select("t", "text").mapInArrow(_banded(n, n_bands, n_rows), "t long, grams long, keys array<long>")
+    # Written, since the buckets are counted first and then joined; copies of a text bring the same rows.
+    keyed = checkpoint(slim.select("t", "text").mapInArrow(_banded(n, n_bands, n_rows), "t long, grams long, keys array<long>").where("grams > 0"))
     spread = keyed.select("t", "grams", F.explode("keys").alias("key"))
     # Copies of a text bring the same (key, t) pairs, which combine before the shuffle.
-    bucket = spread.groupBy("key").agg(F.min("t").alias("low"), F.max("t").alias("high")).where("low <> high").select("key", "low")
+    bucket = checkpoint(spread.groupBy("key").agg(F.min("t").alias("low"), F.max("t").alias("high")).where("low <> high").select("key", "low"))
     # Copies have been combined here: a row per bucket and different text.
     shared = checkpoint(spread.join(bucket, "key").groupBy("key", "t").agg(F.max("grams").alias("grams"), F.max("low").alias("low")))
     roots = connected_components(shared.select(F.col("t").alias("u"), F.col("low").alias("v")).distinct())
@@ -327,27 +399,45 @@ def text_classes(
     groups = checkpoint(groups.select("group", blocks, by_bucket.alias("bucket")))
     members = grouped.drop("grams").join(groups, "group")
     in_buckets = (
-        shared.join(members.where("bucket").select("t"), "t")
-        .join(buckets.select("key", blocks), "key")
-        .select("t", F.col("key").alias("group"), "blocks", F.lit(True).alias("bucket"))
+        shared.drop("low")
+        .join(members.where("bucket").select("t"), "t")
+        .join(checkpoint(buckets.select("key", blocks, F.col("t").alias("base"))), "key")
+        .select("t", F.col("key").alias("group"), "blocks", F.lit(True).alias("bucket"), "base")
     )
-    members = members.where("NOT bucket").select("t", "group", "blocks", "bucket").unionByName(in_buckets)
+    # A component is named by its smallest text, which is the one that others differ from; so is a bucket's.
+    members = members.where("NOT bucket").select("t", "group", "blocks", "bucket", F.col("group").alias("base")).unionByName(in_buckets)
     # One document stands for each text: the first by id.
     first = slim.groupBy("t").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_copies"))
-    own_groups = F.collect_set(F.struct("group", "blocks", "bucket")).alias("groups")  # one, or one per bucket at most
+    own_groups = F.collect_set(F.struct("group", "blocks", "bucket", "base")).alias("groups")  # one, or one per bucket at most
     chosen = members.join(first, "t").groupBy("t", "first").agg(own_groups)
     sources = (
         slim.alias("a")
         .join(chosen.alias("b"), (F.col("a.t") == F.col("b.t")) & F.col("a.doc_id").eqNullSafe(F.col("b.first")))
         .select("a.t", "a.text", "b.groups")
     )
-    kind = "array<struct<group:bigint,blocks:int,bucket:boolean>>"
-    loaded = sources.mapInArrow(_loaded(n, values), f"t long, groups {kind}, grams binary, signature binary")
-    loaded = loaded.select("t", "grams", "signature", F.inline("groups"))
-    loaded = loaded.withColumn("block", F.expr("cast(pmod(xxhash64(t, 1), blocks) AS int)"))
-    spans = loaded.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    kind = "array<struct<group:bigint,blocks:int,bucket:boolean,base:bigint>>"
+    loaded = checkpoint(sources.mapInArrow(_loaded(n, values), f"t long, groups {kind}, grams binary, signature binary"))
+    placed = loaded.select("t", "grams", "signature", F.inline("groups"))
+    none = F.lit(0).cast("long")
+    alone = placed.where("blocks = 1").select(
+        "t", "signature", "group", "blocks", "bucket", (F.octet_length("grams") / 8).cast("long").alias("size"),
+        none.alias("base"), none.alias("common"), F.lit(None).cast("binary").alias("less"), F.col("grams").alias("more"),
+    )
+    bases = loaded.where("exists(groups, g -> g.base = t AND g.blocks > 1)").select(F.col("t").alias("base"), F.col("grams").alias("first"))
+    split = (
+        placed.where("blocks > 1")
+        .join(bases, "base")
+        .select("t", "signature", "group", "blocks", "bucket", "grams", "first")
+        .mapInArrow(_differ, "t long, signature binary, group long, blocks int, bucket boolean, size long, base long, common long, less binary, more binary")
+    )
+    spans = (
+        alone.unionByName(split)
+        .withColumn("block", F.expr("cast(pmod(xxhash64(t, 1), blocks) AS int)"))
+        .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    )
     tiles = (
-        spans.select("bucket", "group", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "t", "grams", "signature")
+        spans.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+        .select("bucket", "group", "lo", "hi", "block", "t", "size", "base", "common", "less", "more", "signature")
         .repartition("bucket", "group", "lo", "hi")
         .sortWithinPartitions("bucket", "group", "lo", "hi", "t")
         .mapInArrow(_tiled(threshold, least_matches(values, STEP, threshold, tolerance), n_bands, n_rows), "t long, links long, root long")
@@ -398,10 +488,10 @@ def keep_representatives(docs: DataFrame, **options) -> DataFrame:
     """
     texts = text_classes(_slim(docs, "doc_id", "text"), **options)
     best = texts.groupBy("class").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "t")).alias("w"))
-    winners = best.select(F.xxhash64("w.first", "w.t").alias("_k"))
-    text = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    rows = docs.withColumn("_k", F.xxhash64(F.col("doc_id"), text)).dropDuplicates(["_k"])
-    return rows.join(winners, "_k", "left_semi").drop("_k")
+    winners = best.select(F.xxhash64("w.first", "w.t").alias("k"))
+    key = F.xxhash64(F.col("doc_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit("")))).alias("k")
+    rows = docs.select(key, F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row")).dropDuplicates(["k"])
+    return rows.join(winners, "k", "left_semi").select("row.*")
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

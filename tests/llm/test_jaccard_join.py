@@ -2,6 +2,8 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from parcelar.llm import jaccard_join as m
@@ -57,6 +59,36 @@ def test_against_brute_force(spark, block, share):
     assert got == brute(rows())
 
 
+def test_differences_have_the_same_intersections():
+    rng = random.Random(3)
+    first = np.unique(np.array([rng.randrange(400) for _ in range(150)], np.uint64))
+    texts = [first, *(np.unique(np.concatenate([rng.sample(first.tolist(), rng.randint(0, len(first))), [rng.randrange(400) for _ in range(rng.randint(1, 60))]])).astype(np.uint64) for _ in range(30))]
+    batch = pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in texts]), pa.array([first.tobytes()] * len(texts))], names=["grams", "first"])
+    rows = next(m._differ(iter([batch]))).to_pylist()
+    assert len({r["less"] is None for r in rows}) == 2  # some written out, some not
+    sets = [m.Grams(r["size"], r["base"], r["common"], None if r["less"] is None else np.frombuffer(r["less"], np.uint64), np.frombuffer(r["more"], np.uint64)) for r in rows]
+    pairs = np.array([(a, b) for a in range(len(texts)) for b in range(a)])
+    want = [len(set(texts[a].tolist()) & set(texts[b].tolist())) / len(set(texts[a].tolist()) | set(texts[b].tolist())) for a, b in pairs.tolist()]
+    sizes = np.array([len(x) for x in texts])
+    assert np.allclose(m._jaccard(sets, sizes, pairs), want)
+    for k in range(0, len(pairs), 3):  # few pairs take another way
+        assert np.allclose(m._jaccard(sets, sizes, pairs[k : k + 3]), want[k : k + 3])
+
+
+def test_both_ways_compare_the_same_pairs(spark):
+    """With few bands pairs are missed; by component and by bucket the same ones are."""
+    docs = spark.createDataFrame(rows(), "doc_id long, text string").repartition(3)
+    options = {"n_bands": 4, "n_rows": 8, "block_texts": 10}
+    whole, per_bucket = (sorted(map(str, m.jaccard_links(docs, bucket_share=share, **options).collect())) for share in (0, 1e9))
+    assert whole == per_bucket != sorted(str(r) for r in m.jaccard_links(docs).collect())
+
+
+def test_representatives_keep_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g", 5, 6, 7), (2, "a b c d e f g", 8, 9, 1), (3, "other words", 2, 3, 4)], "doc_id long, text string, _k long, k long, row long")
+    got = sorted(map(tuple, m.keep_representatives(docs).collect()))
+    assert got == [(1, "a b c d e f g", 5, 6, 7), (3, "other words", 2, 3, 4)]
+
+
 def test_pruning_keeps_what_can_reach_the_threshold():
     looks = m.least_matches(160, 32, 0.8, 1e-6)
     assert [n for n, _ in looks] == [32, 64, 96, 128, 160]
