@@ -10,9 +10,10 @@ to the spans that its run can hold, and those are compared with the benchmark's
 word by word.  Items shorter than a window have no such guarantee, so their single windows are
 fingerprints themselves and every run of that many document words is looked up.
 
-The documents are read and split once.  While the benchmark's windows are few enough to be broadcast
-(a counted bound), document words are never shuffled; beyond it the same joins run shuffled, carrying
-only the words around a fingerprint.
+While the benchmark's windows are few enough to be broadcast (a counted bound), the documents are read and
+split once and their words are never shuffled.  Beyond it the same joins run shuffled, carrying only the words
+around a fingerprint, and frequent fingerprints meet the benchmark's in ``SALTS`` parts; documents without a
+hit take no part in the joins and are added by an aggregate.  Both ways give the same rows.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ WINDOW = 10
 GRAM = 5
 #: Benchmark windows (under 300 bytes each) up to which they are broadcast.
 BROADCAST_WINDOWS = 200_000
+#: Parts into which the documents' rows of one fingerprint or window are dealt where these are shuffled.
+SALTS = 16
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _SEPARATORS = "".join(map(chr, [*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
@@ -97,11 +100,27 @@ def decontaminate(
     known = benchmark_windows(benchmark, item_id, item_text, window, gram)
     sizes = {r["n"]: r["count"] for r in known.groupBy("n").count().collect()}  # at most `window` rows
     small = sum(sizes.values()) <= broadcast_windows
-    near = (lambda df: F.broadcast(df)) if small else (lambda df: df)
 
+    def meet(some: DataFrame, few: DataFrame, names: tuple[str, ...]) -> DataFrame:
+        """Join with benchmark rows, whose columns begin with a mark, on equal values of ``names``."""
+        on = [F.col(c) == F.col(f"_{c}") for c in names]
+        if small:
+            few = F.broadcast(few)
+        else:
+            some = some.withColumn("salt", F.expr(f"cast(pmod(xxhash64(k1, at), {SALTS}) AS int)"))
+            few = few.withColumn("_salt", F.explode(F.expr(f"sequence(0, {SALTS - 1})")))
+            on.append(F.col("salt") == F.col("_salt"))
+        # Rows that stand for a document (n = 0) are never shuffled here: there are none beside shuffled hits.
+        return some.join(few, on, "left" if small else "inner")
+
+    # Equal rows share a key and are counted, so that no position of a row has to be the same in every attempt.
     split = docs.select(
-        F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("uid"), words_of(F.col(text)).alias("words")
+        F.col(doc_id).alias("doc_id"),
+        F.xxhash64(F.col(doc_id), F.col(text)).alias("k1"),
+        F.xxhash64(F.lit("second"), F.col(text), F.col(doc_id)).alias("k2"),
+        words_of(F.col(text)).alias("words"),
     )
+    key = ["doc_id", "k1", "k2"]
     # A fingerprint per run of spans: runs start where the value changes, and every w spans at the latest.
     runs = (
         "transform(filter(transform(_fps, (f, j) -> struct(j + 1 AS at, "
@@ -110,7 +129,9 @@ def decontaminate(
     )
     found = split.withColumn("_hashes", F.expr(_hashes("words", gram)))
     found = found.withColumn("_fps", F.expr(_fingerprints("_hashes", w)))
-    parts = ["array(struct(0 AS at, 0 AS n, cast(null AS bigint) AS fp))"]  # one row that stands for the document
+    parts = ["cast(array() AS array<struct<at:int,n:int,fp:bigint>>)"]
+    if small:
+        parts.append("array(struct(0 AS at, 0 AS n, cast(null AS bigint) AS fp))")  # one row that stands for the document
     if window in sizes:
         parts.append(runs)
     parts += [
@@ -118,43 +139,39 @@ def decontaminate(
         for n in sorted(sizes)
         if n < window
     ]
-    looked_up = found.select("doc_id", "uid", "words", F.explode(F.expr(f"concat({', '.join(parts)})")).alias("c"))
-    if small:
-        looked_up = looked_up.select("doc_id", "uid", "words", F.lit(1).alias("base"), "c.*")
-    else:  # shuffled: only the words that the spans of the run can reach, and the count
-        around = F.expr(f"IF(c.n = 0, cast(array() AS array<string>), slice(words, c.at, {window + w - 1}))")
-        looked_up = looked_up.select(
-            "doc_id", "uid", F.when(F.col("c.n") == 0, F.size("words")).alias("n_words"), around.alias("words"), F.col("c.at").alias("base"), "c.*"
-        )
+    looked_up = found.select(*key, "words", F.explode(F.expr(f"concat({', '.join(parts)})")).alias("c"))
     if small:
-        looked_up = looked_up.withColumn("n_words", F.when(F.col("n") == 0, F.size("words")))
+        looked_up = looked_up.select(*key, F.when(F.col("c.n") == 0, F.size("words")).alias("n_words"), "words", F.lit(1).alias("base"), "c.*")
+    else:  # shuffled: only the words that the spans of the run can reach
+        around = F.expr(f"slice(words, c.at, {window + w - 1})")
+        looked_up = looked_up.select(*key, F.lit(None).cast("int").alias("n_words"), around.alias("words"), F.col("c.at").alias("base"), "c.*")
     prints = known.select(F.col("n").alias("_n"), F.col("fp").alias("_fp")).distinct()
-    hits = looked_up.join(near(prints), (F.col("fp") == F.col("_fp")) & (F.col("n") == F.col("_n")), "left").where(
-        (F.col("n") == 0) | F.col("_fp").isNotNull()
-    )
+    hits = meet(looked_up, prints, ("fp", "n")).where((F.col("n") == 0) | F.col("_fp").isNotNull())
     last = f"CASE WHEN n = 0 THEN at WHEN n < {window} THEN at ELSE least(at + {w - 1}, base + size(words) - {window}) END"
     spans = (
-        hits.select("doc_id", "uid", "n_words", "words", "base", "n", F.explode(F.expr(f"sequence(at, {last})")).alias("at"))
+        hits.select(*key, "n_words", "words", "base", "n", F.explode(F.expr(f"sequence(at, {last})")).alias("at"))
         .withColumn("_span", F.expr("IF(n = 0, cast(array() AS array<string>), slice(words, at - base + 1, n))"))
-        .select("doc_id", "uid", "n_words", "n", "at", F.xxhash64("_span").alias("hash"), F.array_join("_span", " ").alias("phrase"))
+        .select(*key, "n_words", "n", "at", F.xxhash64("_span").alias("hash"), F.array_join("_span", " ").alias("phrase"))
     )
     names = known.select(F.col("hash").alias("_hash"), F.col("phrase").alias("_phrase"), "items")
-    matched = spans.join(near(names), (F.col("hash") == F.col("_hash")) & (F.col("phrase") == F.col("_phrase")), "left").where(
-        (F.col("n") == 0) | F.col("items").isNotNull()
-    )
+    matched = meet(spans, names, ("hash", "phrase")).where((F.col("n") == 0) | F.col("items").isNotNull())
+    matched = matched.select(*key, "n_words", "n", "at", "items")
+    if not small:
+        nothing = [F.lit(0).alias("n"), F.lit(0).alias("at"), F.lit(None).cast("array<string>").alias("items")]
+        matched = matched.unionByName(split.select(*key, F.size("words").alias("n_words"), *nothing))
     covered = (
         "aggregate(array_sort(_spans), struct(0 AS upto, 0L AS total), (a, s) -> struct("
         "greatest(a.upto, s.at + s.n) AS upto, a.total + greatest(0, s.at + s.n - greatest(a.upto, s.at)) AS total), a -> a.total)"
     )
     return (
-        matched.groupBy("uid")
+        matched.groupBy(*key)
         .agg(
-            F.max("doc_id").alias("doc_id"),
             F.max("n_words").cast("long").alias("n_words"),
+            F.count_if(F.col("n") == 0).alias("_rows"),
             F.collect_set(F.when(F.col("n") > 0, F.struct("at", "n"))).alias("_spans"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("_items"),
         )
-        .select("doc_id", "n_words", F.expr(covered).alias("n_hit"), "_items")
+        .select("doc_id", "n_words", F.expr(covered).alias("n_hit"), "_items", F.explode(F.expr("sequence(1, _rows)")).alias("_nth"))
         .select(
             "doc_id",
             "n_words",
@@ -174,9 +191,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataF
     key = F.xxhash64("doc_id", "text")
     keyed = docs.select(F.struct("doc_id", key.alias("k1")).alias("doc_id"), "text")
     hit = decontaminate(keyed, benchmark, **options).where("contaminated").select("doc_id.*").distinct()
-    hit = hit.select(F.col("doc_id").alias("_doc_id"), F.col("k1").alias("_k1"))
-    on = docs["doc_id"].eqNullSafe(F.col("_doc_id")) & (F.xxhash64(docs["doc_id"], docs["text"]) == F.col("_k1"))
-    return docs.join(hit, on, "left_anti")
+    on = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.xxhash64("a.doc_id", "a.text") == F.col("b.k1"))
+    return docs.alias("a").join(hit.alias("b"), on, "left_anti")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
