@@ -2,10 +2,11 @@
 
 1. Each document has a small vector of text measures.  A logistic model of them is fitted on labelled
    rows: all of them up to ``SAMPLE``, beyond that the ``SAMPLE`` rows whose ids hash lowest.
-2. The classifier's probabilities are summed per path and per host (grouped aggregation over *all*
-   documents, combined before the shuffle).  Host rates are shrunk toward the global rate and path rates
-   toward their host's; how strongly follows from the observed spread between hosts, or between the
-   paths of a host, by the method of moments, so that a sparse site keeps its parent's rate.
+2. The evidence of a document is its label where it has one, and the classifier's probability elsewhere.
+   Evidence is summed per path and per host (grouped aggregation over *all* documents, combined before the
+   shuffle).  Host rates are shrunk toward the global rate and path rates toward their host's; how strongly
+   follows from the observed spread between hosts, or between the paths of a host, by the method of moments,
+   so that a sparse site keeps its parent's rate.
 3. A document's log odds are the classifier's plus the site's, which is the path posterior without this
    document's own share, against the global rate.
 """
@@ -131,41 +132,48 @@ class SiteModel:
     """Everything that scoring needs: the classifier, the sites and the prior weights."""
 
     classifier: Classifier
-    sites: DataFrame  # host, path, host_n, host_good, path_n, path_good
+    sites: DataFrame  # host, path, path_n, path_good, host_n, host_good
     rate: float
     host_weight: float
     path_weight: float
     small: bool
 
-    def score(self, docs: DataFrame, log_odds: Column, host: str, path: str) -> DataFrame:
-        """Adds p_doc, host_rate, path_rate and p_quality to rows that the sites were counted from."""
-        near = F.broadcast(self.sites) if self.small else self.sites
-        on = docs[host].eqNullSafe(near["_host"]) & docs[path].eqNullSafe(near["_path"])
-        out = docs.withColumn("p_doc", _probability(log_odds)).join(near, on, "left")
+    def score(self, docs: DataFrame) -> DataFrame:
+        """doc_id, key, p_doc, host_rate, path_rate, p_quality of the rows that the sites were counted from."""
+        near = (F.broadcast(self.sites) if self.small else self.sites).alias("s")
+        on = F.col("d.host").eqNullSafe(F.col("s.host")) & F.col("d.path").eqNullSafe(F.col("s.path"))
+        own = F.coalesce(F.col("label"), F.col("p_doc"))
+        out = docs.withColumn("p_doc", _probability(self.classifier.log_odds(F.col("x")))).alias("d").join(near, on, "left")
         # Leave this document out of its own site's evidence.
-        host_rate = (F.col("_host_good") - F.col("p_doc") + self.host_weight * self.rate) / (F.col("_host_n") - 1 + self.host_weight)
+        host_rate = (F.col("host_good") - own + self.host_weight * self.rate) / (F.col("host_n") - 1 + self.host_weight)
         out = out.withColumn("host_rate", F.coalesce(host_rate, F.lit(self.rate)))
-        path_rate = (F.col("_path_good") - F.col("p_doc") + self.path_weight * F.col("host_rate")) / (F.col("_path_n") - 1 + self.path_weight)
+        path_rate = (F.col("path_good") - own + self.path_weight * F.col("host_rate")) / (F.col("path_n") - 1 + self.path_weight)
         out = out.withColumn("path_rate", F.coalesce(path_rate, F.col("host_rate")))
         site = _logit(F.col("path_rate")) - float(np.log(self.rate / (1 - self.rate)))
         out = out.withColumn("p_quality", _probability(_logit(F.col("p_doc")) + site))
-        return out.drop("_host", "_path", "_host_n", "_host_good", "_path_n", "_path_good")
+        return out.select("doc_id", "key", "p_doc", "host_rate", "path_rate", "p_quality")
 
 
-def fit_sites(measured_docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, broadcast_sites: int = BROADCAST_SITES) -> SiteModel:
-    """Fit on rows (doc_id, host, path, x) and labels (doc_id, quality)."""
-    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.avg("quality").alias("quality"))
+def labelled(measured_docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows (doc_id, key, host, path, x) with ``label``, the average of an id's labels, 0 to 1; null without any."""
+    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id")
+    known = known.agg(F.avg(F.col("quality").cast("double")).alias("label"))
+    return measured_docs.join(known, "doc_id", "left").select("doc_id", "key", "host", "path", "x", "label")
+
+
+def fit_sites(docs: DataFrame, sample: int = SAMPLE, broadcast_sites: int = BROADCAST_SITES) -> SiteModel:
+    """Fit on rows (doc_id, key, host, path, x, label) as :func:`labelled` gives them."""
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31))
-    found = measured_docs.join(known, "doc_id").select(place.alias("place"), "doc_id", "x", "quality")
-    labelled = found.count()
-    if labelled > sample:  # so that tasks don't each send a full sample
-        found = found.where(F.col("place") < int((1 << 31) * min(1.0, sample / labelled * 1.1 + 1000 / labelled)))
+    found = docs.where("label IS NOT NULL").select(place.alias("place"), "doc_id", "x", F.col("label").alias("quality"))
+    count = found.count()
+    if count > sample:  # so that tasks don't each send a full sample
+        found = found.where(F.col("place") < int((1 << 31) * min(1.0, sample / count * 1.1 + 1000 / count)))
     rows = found.orderBy("place", "doc_id").limit(sample).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["x"]))
     x = np.array([r["x"] for r in rows], float).reshape(len(rows), len(MEASURES))
     classifier = fit_logistic(x, np.array([float(r["quality"] >= 0.5) for r in rows]))
-    p = _probability(classifier.log_odds(F.col("x")))
-    paths = measured_docs.groupBy("host", "path").agg(F.count("*").alias("path_n"), F.sum(p).alias("path_good"))
+    evidence = F.coalesce(F.col("label"), _probability(classifier.log_odds(F.col("x"))))
+    paths = docs.groupBy("host", "path").agg(F.count("*").alias("path_n"), F.sum(evidence).alias("path_good"))
     paths = checkpoint(paths)
     hosts = paths.groupBy("host").agg(F.sum("path_n").alias("host_n"), F.sum("path_good").alias("host_good"))
     total = hosts.agg(F.sum("host_n").alias("n"), F.sum("host_good").alias("good")).first()
@@ -175,15 +183,33 @@ def fit_sites(measured_docs: DataFrame, labels: DataFrame, sample: int = SAMPLE,
     both = paths.alias("a").join(hosts.withColumn("host_rate", shrunk).alias("b"), F.col("a.host").eqNullSafe(F.col("b.host")))
     both = both.select("a.host", "path", "path_n", "path_good", "host_n", "host_good", "host_rate")
     path_weight = _weight(both, "path_n", "path_good", F.col("host_rate"))
-    sites = both.select(*(F.col(c).alias(f"_{c}") for c in ("host", "path", "host_n", "host_good", "path_n", "path_good")))
-    return SiteModel(classifier, sites, rate, host_weight, path_weight, paths.count() <= broadcast_sites)
+    return SiteModel(classifier, both.drop("host_rate"), rate, host_weight, path_weight, paths.count() <= broadcast_sites)
+
+
+def site_of(url: Column) -> tuple[Column, Column]:
+    """Host (without "www.", lower case) and first path segment of a URL; nulls where there are none."""
+    host = F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?(?:www\.)?([^/?#:]+)", 1))
+    path = F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]+/([^/?#]+)", 1)
+    return F.when(host != "", host), F.when(path != "", path)
 
 
-def _slim(docs: DataFrame, doc_id: str, text: str, host: str, path: str) -> DataFrame:
+def _as_column(c: Column | str) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
+def _measured_rows(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, host: Column | str, path: Column | str) -> DataFrame:
+    """doc_id, key (hash of a row's id, text, host and path), host, path, x, label; written, since it is read several times."""
     bounded_batches(docs.sparkSession)
-    return docs.select(
-        F.col(doc_id).alias("doc_id"), F.col(host).alias("host"), F.col(path).alias("path"), measured(F.col(text)).alias("x")
-    )
+    host, path = _as_column(host).cast("string"), _as_column(path).cast("string")
+    slim = docs.select(
+        F.col(doc_id).alias("doc_id"), row_hash(F.col(doc_id), F.col(text), host, path).alias("key"),
+        host.alias("host"), path.alias("path"), measured(F.col(text)).alias("x"),
+    )
+    return checkpoint(labelled(slim, labels))
+
+
+def row_hash(doc_id: Column, text: Column, host: Column, path: Column) -> Column:
+    return F.xxhash64(doc_id, text, host, path)
 
 
 def classify_quality(
@@ -191,34 +217,39 @@ def classify_quality(
     labels: DataFrame,
     doc_id: str = "doc_id",
     text: str = "text",
-    host: str = "source",
-    path: str = "lang",
+    host: Column | str = "source",
+    path: Column | str = "lang",
     cut: float = CUT,
     sample: int = SAMPLE,
     broadcast_sites: int = BROADCAST_SITES,
 ) -> DataFrame:
     """One row per document row: doc_id, p_doc, host_rate, path_rate, p_quality, keep.
 
+    ``host`` and ``path`` are names or columns, such as those of :func:`site_of` where documents have URLs.
     A null text counts as empty; a null host or path is a site of its own; null ids are scored but never
     labelled; repeated rows each keep a row; several labels of one id are averaged; without labels of both
     classes the classifier is constant; empty tables give empty tables; other columns are ignored,
     whatever their names.
     """
-    slim = checkpoint(_slim(docs, doc_id, text, host, path))
-    model = fit_sites(slim, labels, sample, broadcast_sites)
-    scored = model.score(slim, model.classifier.log_odds(F.col("x")), "host", "path")
-    return scored.select("doc_id", "p_doc", "host_rate", "path_rate", "p_quality", (F.col("p_quality") >= cut).alias("keep"))
+    slim = _measured_rows(docs, labels, doc_id, text, host, path)
+    scored = fit_sites(slim, sample, broadcast_sites).score(slim)
+    return scored.drop("key").withColumn("keep", F.col("p_quality") >= cut)
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
-    """The rows of ``documents`` that the classifier keeps, with their columns.
+def keep_good(docs: DataFrame, labels: DataFrame, host: Column | str = "source", path: Column | str = "lang", cut: float = CUT) -> DataFrame:
+    """The rows of ``documents`` that the classifier keeps, with their columns, whatever their names.
 
-    The texts are measured a second time where they lie, which is cheaper than to shuffle them.
+    Cases are those of :func:`classify_quality`; rows with equal id, text, host and path share a verdict.
+    Only the rejected rows' ids and hashes are joined back.
     """
-    columns = docs.columns
-    model = fit_sites(checkpoint(_slim(docs, "doc_id", "text", "source", "lang")), labels)
-    here = docs.withColumn("_log_odds", model.classifier.log_odds(measured(F.col("text"))))
-    return model.score(here, F.col("_log_odds"), "source", "lang").where(F.col("p_quality") >= cut).select(*columns)
+    slim = _measured_rows(docs, labels, "doc_id", "text", host, path)
+    bad = fit_sites(slim).score(slim).where(~(F.col("p_quality") >= cut)).select("doc_id", "key").distinct()
+    keyed = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("doc_id"),
+        row_hash(F.col("doc_id"), F.col("text"), _as_column(host).cast("string"), _as_column(path).cast("string")).alias("key"),
+    )
+    on = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.key") == F.col("b.key"))
+    return keyed.alias("a").join(bad.alias("b"), on, "left_anti").select("row.*")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

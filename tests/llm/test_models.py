@@ -18,21 +18,105 @@ def test_held_out_accuracy(spark):
     assert right > 0.97 and clean > 0.99
 
 
+def site_rows(spark, rows, labels):
+    """Rows (doc_id, host, path, x, label) as the operator makes them."""
+    docs = spark.createDataFrame([(i, i, h, p, x) for i, h, p, x in rows], "doc_id long, key long, host string, path string, x array<double>")
+    return quality.labelled(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+
+
 def test_sites_shrink(spark):
     """A site with much evidence keeps its rate, one with little takes its parent's."""
     rows = [(i, "big", "p", [float(i % 10 == 0)] + [0.0] * 12) for i in range(2000)] + [(5000 + i, "good", "p", [1.0] + [0.0] * 12) for i in range(2000)]
     rows += [(9000, "tiny", "p", [0.0] * 13)]
-    docs = spark.createDataFrame(rows, "doc_id long, host string, path string, x array<double>")
-    labels = spark.createDataFrame([(i, int(x[0])) for i, _, _, x in rows], "doc_id long, quality int")
-    model = quality.fit_sites(docs, labels)
-    scored = model.score(docs, model.classifier.log_odds(F.col("x")), "host", "path")
+    docs = site_rows(spark, rows, [(i, int(x[0])) for i, _, _, x in rows])
+    model = quality.fit_sites(docs)
+    scored = model.score(docs).join(docs.select("doc_id", "host"), "doc_id")
     rate = {r["host"]: r["r"] for r in scored.groupBy("host").agg(F.avg("host_rate").alias("r")).collect()}
     assert rate["big"] < 0.2 and rate["good"] > 0.9
     assert abs(rate["tiny"] - model.rate) < 0.02  # its only document doesn't vouch for itself
-    wide = quality.fit_sites(docs, labels, broadcast_sites=0).score(docs, model.classifier.log_odds(F.col("x")), "host", "path")
+    wide = quality.fit_sites(docs, broadcast_sites=0).score(docs)
     assert wide.agg(F.round(F.sum("p_quality"), 6)).first()[0] == scored.agg(F.round(F.sum("p_quality"), 6)).first()[0]
 
 
+def test_posteriors_equal_numpy(spark):
+    """Weights, rates and posteriors against the formulas in numpy, over hosts and paths with some labels."""
+    rng = np.random.default_rng(4)
+    rows, labels = [], []
+    for i in range(900):
+        host, path = f"h{rng.integers(0, 12)}", f"p{rng.integers(0, 4)}"
+        lean = 0.15 + 0.7 * (int(host[1:]) % 3) / 2 + (0.15 if path == "p1" else 0)
+        good = rng.random() < lean
+        rows.append((i, host if i % 40 else None, path, [float(good) + rng.normal(0, 0.8)] + rng.normal(0, 1, 12).tolist()))
+        if rng.random() < 0.3:
+            labels.append((i, int(good)))
+    docs = site_rows(spark, rows, labels)
+    got = {r["doc_id"]: r for r in quality.fit_sites(docs).score(docs).collect()}
+
+    known = dict(labels)
+    x = np.array([r[3] for r in rows])
+    model = quality.fit_logistic(np.array([x[i] for i in sorted(known)]), np.array([float(known[i]) for i in sorted(known)]))
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    logit = lambda p: np.log(np.clip(p, 1e-6, 1 - 1e-6) / (1 - np.clip(p, 1e-6, 1 - 1e-6)))
+    p = sigmoid(x @ np.array(model.weights) + model.bias)
+    e = np.array([known.get(i, p[i]) for i in range(len(rows))])
+    hosts, paths = [r[1] for r in rows], [(r[1], r[2]) for r in rows]
+    total = lambda names: {n: (sum(m == n for m in names), sum(v for m, v in zip(names, e) if m == n)) for n in set(names)}
+    by_host, by_path = total(hosts), total(paths)
+    rate = e.sum() / len(e)
+
+    def weight(sites, parent):
+        spread = sum(n * ((g / n - parent[s]) ** 2 - parent[s] * (1 - parent[s]) / n) for s, (n, g) in sites.items())
+        most = sum(n * parent[s] * (1 - parent[s]) * (1 - 1 / n) for s, (n, _) in sites.items())
+        return min(1e6, max(2.0, most / spread - 1)) if spread > 0 else 1e6
+
+    host_weight = weight(by_host, dict.fromkeys(by_host, rate))
+    shrunk = {h: (g + host_weight * rate) / (n + host_weight) for h, (n, g) in by_host.items()}
+    path_weight = weight(by_path, {s: shrunk[s[0]] for s in by_path})
+    assert host_weight < 1000  # there is something to learn from hosts
+    for i, (h, s) in enumerate(zip(hosts, paths)):
+        host_rate = (by_host[h][1] - e[i] + host_weight * rate) / (by_host[h][0] - 1 + host_weight)
+        path_rate = (by_path[s][1] - e[i] + path_weight * host_rate) / (by_path[s][0] - 1 + path_weight)
+        want = (p[i], host_rate, path_rate, sigmoid(logit(p[i]) + logit(path_rate) - logit(rate)))
+        assert np.allclose([got[i][k] for k in ("p_doc", "host_rate", "path_rate", "p_quality")], want, rtol=0, atol=1e-9)
+
+
+def test_sites_change_verdicts(spark):
+    """The same text is kept on a host of good documents and rejected on a host of bad ones; labels are evidence."""
+    rng = np.random.default_rng(1)
+    rows, labels = [], []
+    for i in range(1200):
+        good = i % 2 == 0
+        rows.append((i, "fine" if good else "junk", "p", [float(good) + rng.normal(0, 0.6)] + [0.0] * 12))
+        labels.append((i, int(good)))
+    rows += [(5000, "fine", "p", [0.5] + [0.0] * 12), (5001, "junk", "p", [0.5] + [0.0] * 12)]
+    docs = site_rows(spark, rows, labels)
+    got = {r["doc_id"]: r for r in quality.fit_sites(docs).score(docs).collect()}
+    assert abs(got[5000]["p_doc"] - got[5001]["p_doc"]) < 1e-12
+    assert got[5000]["p_quality"] > 0.9 and got[5001]["p_quality"] < 0.1
+
+
+def test_sites_of_urls(spark):
+    urls = ["https://www.A.org:80/blog/x?y", "http://b.net", "//c.d/e#f", "ftp://u:p@h.io/q/", "no url", None]
+    host, path = quality.site_of(F.col("url"))
+    got = [tuple(r) for r in spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i int, url string").orderBy("i").select(host, path).collect()]
+    assert got == [("a.org", "blog"), ("b.net", None), ("c.d", "e"), ("h.io", "q"), (None, None), (None, None)]
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet").selectExpr("page_id AS doc_id", "url", "html AS text")
+    labels = pages.selectExpr("doc_id", "cast(doc_id % 2 AS int) AS quality")
+    host, path = quality.site_of(F.col("url"))
+    scored = quality.classify_quality(pages, labels, host=host, path=path)
+    assert scored.count() == pages.count() and scored.where("path_rate IS NULL").isEmpty()
+
+
+def test_good_documents_keep_clashing_columns(spark):
+    columns = ("p_doc", "host_rate", "_host", "key", "row", "label", "x")
+    docs = spark.createDataFrame(
+        [(i, f"some words of text {i}", "en", "s", *[float(i)] * 7) for i in range(5)],
+        "doc_id long, text string, lang string, source string, " + ", ".join(f"{c} double" for c in columns),
+    )
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    assert sorted(map(tuple, quality.keep_good(docs, labels).collect())) == sorted(map(tuple, docs.collect()))
+
+
 def test_sample_bound(spark):
     docs, labels = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet")
     assert quality.classify_quality(docs, labels, sample=20).count() == docs.count()
