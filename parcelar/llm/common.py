@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,11 +13,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Make ``DataFrame.checkpoint`` usable.
 
     A cluster names the shared folder in ``spark.checkpoint.dir``.  Only where that setting is
-    absent (a test session on one machine) is a temporary folder used instead.
+    absent and the session runs on one machine is a temporary folder used instead; elsewhere the
+    executors couldn't see one, so that is an error.
     """
-    if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="parcelar-checkpoint-"))
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = context.getConf().get("spark.checkpoint.dir")
+        if named is None and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="parcelar-checkpoint-"))
 
 
 #: Bytes of rows that go to a Python worker at a time.
