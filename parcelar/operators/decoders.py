@@ -19,6 +19,8 @@ from parcelar.operators.kernels import DECODERS, Graph, objective, seed_lengths
 
 #: Bytes of one instance's arrays up to which the table of graphs may be broadcast, and its rows.
 BROADCAST_ROWS, BROADCAST_VALUES = 200, 2_000_000
+#: Parts into which the rows of one instance are dealt where its graph is shuffled.
+SALTS = 16
 
 
 def graph_rows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -36,10 +38,17 @@ def graph_rows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def near(graphs: DataFrame) -> DataFrame:
-    """The graphs, marked for broadcast if they are counted to be small."""
+    """The graphs, marked for broadcast if they are counted to be small, else once for each part of their rows."""
     size = graphs.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("xs") + 2 * F.size("us")), F.lit(0)).alias("values")).first()
     small = size["rows"] <= BROADCAST_ROWS and size["values"] <= BROADCAST_VALUES
-    return F.broadcast(graphs) if small else graphs
+    return F.broadcast(graphs) if small else graphs.withColumn("salt", F.explode(F.expr(f"sequence(0, {SALTS - 1})")))
+
+
+def with_graphs(rows: DataFrame, graphs: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` with the graphs of :func:`near`; the rows of an instance are dealt by their ``keys``."""
+    if "salt" not in graphs.columns:
+        return rows.join(graphs, "instance")
+    return rows.withColumn("salt", F.pmod(F.xxhash64(*keys), F.lit(SALTS)).cast("int")).join(graphs, ["instance", "salt"]).drop("salt")
 
 
 def as_graph(n: int, xs, us, vs) -> Graph:
@@ -77,7 +86,7 @@ def decode(population: DataFrame, nodes: DataFrame, edges: DataFrame, method: st
     """
     if method not in DECODERS:
         raise ValueError(f"unknown decoder {method!r}")
-    joined = population.join(graphs if graphs is not None else near(graph_rows(nodes, edges)), "instance")
+    joined = with_graphs(population, graphs if graphs is not None else near(graph_rows(nodes, edges)), "run_id", "chrom")
     columns = joined.select("run_id", "instance", "k", "generation", "chrom", "genes", "n", "xs", "us", "vs")
     return columns.mapInArrow(_decode(method), "run_id string, instance string, k int, generation int, chrom int, labels array<int>, f double")
 
@@ -140,7 +149,7 @@ def seed_distances(population: DataFrame, nodes: DataFrame, edges: DataFrame) ->
                     }
                 )
 
-    joined = population.join(near(graph_rows(nodes, edges)), "instance").select("run_id", "chrom", "k", "genes", "n", "xs", "us", "vs")
+    joined = with_graphs(population, near(graph_rows(nodes, edges)), "run_id", "chrom").select("run_id", "chrom", "k", "genes", "n", "xs", "us", "vs")
     return joined.mapInArrow(kernel, "run_id string, chrom int, region int, seed int, node_id int, length double")
 
 

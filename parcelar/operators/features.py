@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,18 +15,35 @@ from parcelar.functions.vectors import squared_distance
 BLOCK = 128
 
 
+def _tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distances of all pairs i < j of two blocks, one row of arrays each."""
+    for batch in batches:
+        for row in range(len(batch)):
+            i, j, a, b = (batch[c][row].values.to_numpy(zero_copy_only=False) for c in ("li", "ri", "lx", "rx"))
+            a, b = a.reshape(len(i), -1), b.reshape(len(j), -1)
+            d = np.zeros((len(i), len(j)))
+            for k in range(a.shape[1]):
+                d += (a[:, k, None] - b[None, :, k]) ** 2  # in order of the components
+            p, q = np.nonzero(i[:, None] < j[None, :])
+            name = pa.array([batch["instance"][row].as_py()] * len(p), pa.string())
+            yield pa.RecordBatch.from_arrays([name, pa.array(i[p], pa.int32()), pa.array(j[q], pa.int32()), pa.array(d[p, q])], names=["instance", "i", "j", "d"])
+
+
 def pairwise_dissimilarity(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
     """``instance, i, j, d`` for all pairs i < j of an instance: squared Euclidean distances.
 
-    The result is quadratic by definition.  Nodes are dealt to tiles of two blocks, an equi-join, so one
-    large instance spreads over all executors and no side is broadcast.
+    The result is quadratic by definition.  Blocks of ``block`` nodes are rows of arrays, and pairs of blocks meet by
+    an equi-join, so one large instance spreads over all executors and no side is broadcast.  A tile's
+    distances are one step in numpy.
     """
     n_blocks = nodes.groupBy("instance").agg((F.floor(F.max("node_id") / block) + 1).cast("int").alias("blocks"))
-    placed = nodes.select("instance", "node_id", "x", F.expr(f"node_id div {block}").cast("int").alias("b")).join(n_blocks, "instance")
-    left = placed.select("instance", F.col("node_id").alias("i"), F.col("x").alias("xi"), F.col("b").alias("lo"), F.explode(F.expr("sequence(b, blocks - 1)")).alias("hi"))
-    right = placed.select("instance", F.col("node_id").alias("j"), F.col("x").alias("xj"), F.explode(F.expr("sequence(0, b)")).alias("lo"), F.col("b").alias("hi"))
-    pairs = left.join(right, ["instance", "lo", "hi"]).where("i < j")
-    return pairs.select("instance", "i", "j", squared_distance("xi", "xj").alias("d"))
+    listed = F.array_sort(F.collect_list(F.struct("node_id", "x")))
+    blocks = nodes.groupBy("instance", F.expr(f"node_id div {block}").cast("int").alias("b")).agg(listed.alias("rows"))
+    blocks = blocks.select("instance", "b", F.col("rows.node_id").alias("ids"), F.flatten("rows.x").alias("xs")).join(n_blocks, "instance")
+    left = blocks.select("instance", F.col("ids").alias("li"), F.col("xs").alias("lx"), F.col("b").alias("lo"), F.explode(F.expr("sequence(b, blocks - 1)")).alias("hi"))
+    right = blocks.select("instance", F.col("ids").alias("ri"), F.col("xs").alias("rx"), F.explode(F.expr("sequence(0, b)")).alias("lo"), F.col("b").alias("hi"))
+    tiles = left.join(right, ["instance", "lo", "hi"]).select("instance", "li", "lx", "ri", "rx")
+    return tiles.mapInArrow(_tile, "instance string, i int, j int, d double")
 
 
 def edge_dissimilarity(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -33,8 +33,10 @@ class Graph:
     @cached_property
     def distance(self) -> np.ndarray:
         """All squared distances."""
-        gram = self.x[:, None, :] - self.x[None, :, :]
-        return (gram**2).sum(axis=2)
+        out = np.zeros((self.n, self.n))
+        for column in self.x.T:  # a matrix at a time, and exact where features are equal
+            out += (column[:, None] - column[None, :]) ** 2
+        return out
 
     def pair_place(self) -> np.ndarray:
         """Row-major number of each pair in the strict upper triangle, as a symmetric matrix."""

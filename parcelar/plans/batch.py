@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelar.operators.classic import CLASSIC
-from parcelar.operators.decoders import as_graph, graph_rows, near
+from parcelar.operators.decoders import as_graph, graph_rows, near, with_graphs
 from parcelar.operators.kernels import objective
 from parcelar.plans.search import RUN_SCHEMA, SearchConfig, run_kernel
+from parcelar.sources.tables import append_results, read_results
 
 GENETIC = {"brkga_mst": "mst", "brkga_st": "shortest", "brkga_greedy": "greedy"}
 HEURISTICS = (*GENETIC, *CLASSIC)
@@ -89,7 +90,7 @@ def run_tasks(tasks: DataFrame, nodes: DataFrame, edges: DataFrame, config: Sear
             yield out
 
     dealt = tasks.repartition(partitions or int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "run_id")
-    return dealt.join(near(graph_rows(nodes, edges)), "instance").select(
+    return with_graphs(dealt, near(graph_rows(nodes, edges)), "run_id").select(
         "run_id", "instance", "k", "seed", "heuristic", "n", "xs", "us", "vs"
     ).mapInPandas(kernel, RUN_SCHEMA)
 
@@ -101,14 +102,47 @@ def batch_tasks(ids: DataFrame, heuristics: list[str] | None = None) -> DataFram
     return rows.select("id", F.concat_ws("__", "id", "heuristic").alias("run_id"), "instance", "k", F.col("repetition").alias("seed"), "heuristic")
 
 
-def run_batch(ids: DataFrame, nodes: DataFrame, edges: DataFrame, config: SearchConfig, heuristics: list[str] | None = None, results: DataFrame | None = None) -> DataFrame:
-    """Long results of all ids that ``results`` doesn't have: ``id, n, k, heuristic, f, time_s, last_gen, labels``."""
+def run_batch(
+    ids: DataFrame,
+    nodes: DataFrame,
+    edges: DataFrame,
+    config: SearchConfig,
+    heuristics: list[str] | None = None,
+    results: DataFrame | None = None,
+    options: dict | None = None,
+) -> DataFrame:
+    """Long results of all ids that ``results`` doesn't have: ``id, n, k, heuristic, f, time_s, last_gen, labels``.
+
+    ``options`` are further arguments of the classic heuristics, by their names.
+    """
     todo = pending(ids, results) if results is not None else ids
     tasks = batch_tasks(todo, heuristics)
-    done = run_tasks(tasks.drop("id"), nodes, edges, config)
+    done = run_tasks(tasks.drop("id"), nodes, edges, config, options)
     return done.withColumn("id", F.regexp_replace("run_id", "__[a-z_]+$", "")).select("id", "instance", "n", "k", "heuristic", "f", "time_s", "last_gen", "labels")
 
 
+def run_and_save(
+    ids: DataFrame,
+    nodes: DataFrame,
+    edges: DataFrame,
+    config: SearchConfig,
+    path: str,
+    heuristics: list[str] | None = None,
+    options: dict | None = None,
+    waves: int = 10,
+) -> DataFrame:
+    """:func:`run_batch` in waves of ids, each appended to the results under ``path`` when it is done; all results.
+
+    A wave is whole or absent, so a job that is lost goes on with the ids that have no results.
+    """
+    spark = ids.sparkSession
+    for wave in range(waves):
+        mine = ids.where(F.pmod(F.xxhash64("id"), F.lit(waves)) == wave)
+        if not (todo := pending(mine, read_results(spark, path))).isEmpty():
+            append_results(run_batch(todo, nodes, edges, config, heuristics, options=options), path)
+    return read_results(spark, path)
+
+
 def results_wide(results: DataFrame, heuristics: list[str]) -> DataFrame:
     """``ID, N, K``, then f of all heuristics, then times, then last generations."""
     wide = results.groupBy(F.col("id").alias("ID"), F.col("n").alias("N"), F.col("k").alias("K")).pivot("heuristic", heuristics)

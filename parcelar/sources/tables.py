@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -47,6 +47,28 @@ def write_results_csv(wide: DataFrame, path: str) -> None:
     wide.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
+def read_results_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Long results of a wide CSV table as :func:`write_results_csv` writes it; an empty table where there is none."""
+    try:
+        wide = spark.read.option("header", True).csv(path)
+    except AnalysisException:
+        return spark.createDataFrame([], RESULTS)
+    names = [c.removesuffix("__f") for c in wide.columns if c.endswith("__f")]
+    if not names:
+        return spark.createDataFrame([], RESULTS)
+
+    def value(name: str, metric: str, kind: str) -> Column:
+        column = f"{name}__{metric}"
+        return (F.col(f"`{column}`") if column in wide.columns else F.lit(None)).cast(kind)
+
+    runs = [
+        F.struct(F.lit(h).alias("heuristic"), value(h, "f", "double").alias("f"), value(h, "time", "double").alias("time_s"), value(h, "last_gen", "int").alias("last_gen"))
+        for h in names
+    ]
+    rows = wide.select(F.col("ID").alias("id"), F.col("N").cast("int").alias("n"), F.col("K").cast("int").alias("k"), F.explode(F.array(*runs)).alias("r"))
+    return rows.select("id", "n", "k", "r.*").where("f IS NOT NULL")
+
+
 def partition_json(partition: DataFrame) -> DataFrame:
     """One row per run: run_id and the regions as JSON text, region number to node names.
 

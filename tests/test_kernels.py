@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from parcelar.operators import kernels
+from parcelar.operators import classic, kernels
 from parcelar.operators.classic import CLASSIC
 from parcelar.operators.kernels import Graph, contiguous, decode_greedy, decode_mst, decode_shortest, objective
 from parcelar.plans.search import SearchConfig, run_kernel
@@ -138,3 +138,19 @@ def test_one_region_and_all_regions():
 def test_equal_weights_go_by_edge_number():
     g = Graph(np.zeros((3, 1)), np.array([0, 0, 1]), np.array([1, 2, 2]))
     assert kernels.spanning_edges(g, g.d) == [0, 1]
+
+
+@pytest.mark.parametrize("linkage", classic.LINKAGES)
+def test_linkages_give_connected_regions(linkage):
+    rng = np.random.default_rng(3)
+    cells = np.arange(30).reshape(5, 6)
+    u = np.concatenate([cells[:, :-1].ravel(), cells[:-1].ravel()])
+    v = np.concatenate([cells[:, 1:].ravel(), cells[1:].ravel()])
+    graph = Graph(rng.normal(size=(30, 3)), u, v)
+    for found in (classic.schc(graph, 5, linkage_method=linkage), classic.redcap(graph, 5, method=f"fullorder-{linkage}linkage")):
+        assert len(set(found.tolist())) == 5 and contiguous(graph, found)
+    assert (classic.redcap(graph, 5, method="firstorder-singlelinkage") == classic.skater(graph, 5)).all()
+    with pytest.raises(ValueError):
+        classic.redcap(graph, 5, method="none")
+    with pytest.raises(ValueError):
+        classic.schc(graph, 5, linkage_method="none")

@@ -167,3 +167,30 @@ def test_components_of_long_paths(spark):
     ).collect()
     assert {(r["instance"], r["node_id"]): r["component"] for r in found} == {(i, n): 0 if i == "long" else half[n] for i, n in nodes}
     assert len(found) == len(nodes)
+
+
+def test_shuffled_graphs_give_the_same(spark, monkeypatch):
+    from parcelar.operators import decoders
+    from parcelar.queries import lattice
+    from parcelar.queries import population as some_population
+
+    nodes, edges = lattice(spark, SMALL)
+    population = some_population(spark, "shortest")
+    want = sorted(map(str, decoders.decode(population, nodes, edges, "shortest").collect()))
+    monkeypatch.setattr(decoders, "BROADCAST_ROWS", 0)
+    assert sorted(map(str, decoders.decode(population, nodes, edges, "shortest").collect())) == want
+
+
+def test_saved_waves_go_on_where_they_stopped(spark, tmp_path):
+    from parcelar.queries import lattice
+
+    nodes, edges = lattice(spark, SMALL)
+    ids, path = batch.execution_ids(nodes, 2), str(tmp_path / "results")
+    config = search.SearchConfig(population_size=10, max_generations=2, max_time=None)
+    options = {"redcap": {"method": "fullorder-completelinkage"}, "azp_tabu": {"tabu_length": 3}}
+    first = batch.run_and_save(ids.where("repetition = 0"), nodes, edges, config, path, ["redcap", "azp_tabu"], options, waves=2)
+    assert first.count() == 6
+    times = {r["id"]: r["time_s"] for r in first.where("heuristic = 'redcap'").collect()}
+    whole = batch.run_and_save(ids, nodes, edges, config, path, ["redcap", "azp_tabu"], options, waves=3)
+    assert whole.count() == 12
+    assert all(times.get(r["id"], r["time_s"]) == r["time_s"] for r in whole.where("heuristic = 'redcap'").collect())  # nothing ran twice
