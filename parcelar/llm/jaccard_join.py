@@ -387,7 +387,7 @@ def text_classes(
     bucket = checkpoint(spread.groupBy("key").agg(F.min("t").alias("low"), F.max("t").alias("high")).where("low <> high").select("key", "low"))
     # Copies have been combined here: a row per bucket and different text.
     shared = checkpoint(spread.join(bucket, "key").groupBy("key", "t").agg(F.max("grams").alias("grams"), F.max("low").alias("low")))
-    roots = connected_components(shared.select(F.col("t").alias("u"), F.col("low").alias("v")).distinct())
+    roots = connected_components(shared.select(F.col("t").alias("u"), F.col("low").alias("v")))
     group = F.coalesce("root", "t").alias("group")
     sized = shared.groupBy("t").agg(F.max("grams").alias("grams"))
     grouped = sized.join(roots.withColumnRenamed("node", "t"), "t", "left").select("t", "grams", group)

@@ -111,3 +111,36 @@ def test_components(spark):
         a, b = sorted((find(a), find(b)))
         parent[b] = a
     assert got == {x: find(x) for x in parent if find(x) != x}
+
+
+@pytest.mark.parametrize("at_once", [0, 100, 2_000_000])
+def test_components_by_steps_and_at_once(spark, at_once):
+    rng = random.Random(5)
+    edges = [(rng.randrange(-600, 600), rng.randrange(-600, 600)) for _ in range(500)] + [(10_000 + i, 10_001 + i) for i in range(200)]
+    edges += [(7, 7), (20_000, -20_000), (-20_000, 20_000)] + [(30_000 + i, 40_000) for i in range(300)]
+    parent = {x: x for e in edges for x in e}
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for a, b in edges:
+        low, high = sorted((find(a), find(b)))
+        parent[high] = low
+    rows = connected_components(spark.createDataFrame(edges, "u long, v long").repartition(7), at_once).collect()
+    assert len(rows) == len({r["node"] for r in rows})
+    assert {r["node"]: r["root"] for r in rows} == {x: find(x) for x in parent if find(x) != x}
+
+
+def test_components_take_few_jobs(spark):
+    """Plans of many steps fill the driver's memory; a graph of this size needs one shuffle."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(3000)], "u long, v long").repartition(5)
+    spark.sparkContext.setJobGroup("components", "")
+    try:
+        connected_components(edges).collect()
+    finally:
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("components"))
+        for name in ("spark.jobGroup.id", "spark.job.description"):
+            spark.sparkContext.setLocalProperty(name, None)
+    assert jobs <= 12
