@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from parcelar.functions.keys import key_sql, keys, place_sql
 from parcelar.operators import analysis, decoders, features, partition
@@ -194,3 +195,11 @@ def test_saved_waves_go_on_where_they_stopped(spark, tmp_path):
     whole = batch.run_and_save(ids, nodes, edges, config, path, ["redcap", "azp_tabu"], options, waves=3)
     assert whole.count() == 12
     assert all(times.get(r["id"], r["time_s"]) == r["time_s"] for r in whole.where("heuristic = 'redcap'").collect())  # nothing ran twice
+
+
+def test_tiles_are_never_broadcast(spark):
+    """Spark would judge the blocks before they are repeated for their tiles, and collect these in the driver."""
+    nodes = spark.range(200).select(F.lit("a").alias("instance"), F.col("id").cast("int").alias("node_id"), F.array(F.col("id") * 1.0, F.lit(2.0)).alias("x"))
+    pairs = features.pairwise_dissimilarity(nodes, 7)
+    assert len(pairs.collect()) == 200 * 199 // 2
+    assert "BroadcastHashJoin" not in pairs._jdf.queryExecution().executedPlan().toString()
