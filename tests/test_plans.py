@@ -203,3 +203,17 @@ def test_tiles_are_never_broadcast(spark):
     pairs = features.pairwise_dissimilarity(nodes, 7)
     assert len(pairs.collect()) == 200 * 199 // 2
     assert "BroadcastHashJoin" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
+def test_objective_of_nodes_forms_pairs_inside_regions_only(spark, monkeypatch):
+    nodes = spark.range(90).select(F.lit("a").alias("instance"), F.col("id").cast("int").alias("node_id"), F.array(F.col("id") * 1.5, F.col("id") % 7 * 1.0).alias("x"))
+    found = nodes.crossJoin(spark.createDataFrame([("r", 3), ("s", 1)], "run_id string, k int"))
+    found = found.where("node_id <> 89").selectExpr("run_id", "instance", "CASE WHEN node_id = 5 THEN 9 ELSE cast(node_id % k AS int) END AS region", "node_id")
+    want = {r["run_id"]: r["f"] for r in partition.objective_pairwise(found, features.pairwise_dissimilarity(nodes)).collect()}
+    for block in (4, 128):
+        got = {r["run_id"]: r["f"] for r in partition.objective_of_nodes(found, nodes, block).collect()}
+        assert got == pytest.approx(want)
+    from parcelar import queries
+
+    monkeypatch.setattr(features, "pairwise_dissimilarity", None)  # all pairs of the table aren't needed
+    queries.objective_pairwise(spark, "/root/testdata/sf0.001").collect()
