@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, giving_back
 
 #: Parts into which the edges of one node are dealt where they meet its minimum.
 SALTS = 16
@@ -84,14 +84,14 @@ def connected_components(edges: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
         return salted.join(least.select("u", "m", salts).hint("merge"), ["u", "salt"])
 
     kinds = "u long, v long"
-    now = checkpoint(edges.where("u <> v").select("u", "v").mapInArrow(_forest(AT_ONCE), kinds))
+    now = checkpoint(edges.where("u <> v").select("u", "v").mapInArrow(giving_back(_forest(AT_ONCE)), kinds))
     before = None
     while True:
         found = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         if (state := (found["n"], found["x"])) == before or found["n"] == 0:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         if found["n"] <= at_once:
-            joined = now.repartition(1).mapInArrow(_forest(found["n"] + 1), kinds)
+            joined = now.repartition(1).mapInArrow(giving_back(_forest(found["n"] + 1)), kinds)
             return checkpoint(joined).select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = state
         both = now.union(now.select("v", "u"))

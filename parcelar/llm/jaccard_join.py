@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, checkpoint, documents
+from .common import bounded_batches, checkpoint, documents, giving_back
 from .components import connected_components
 
 N, THRESHOLD = 5, 0.8
@@ -381,7 +381,7 @@ def text_classes(
     bounded_batches(slim.sparkSession)
     values = n_bands * n_rows
     # Written, since the buckets are counted first and then joined; copies of a text bring the same rows.
-    keyed = checkpoint(slim.select("t", "text").mapInArrow(_banded(n, n_bands, n_rows), "t long, grams long, keys array<long>").where("grams > 0"))
+    keyed = checkpoint(slim.select("t", "text").mapInArrow(giving_back(_banded(n, n_bands, n_rows)), "t long, grams long, keys array<long>").where("grams > 0"))
     spread = keyed.select("t", "grams", F.explode("keys").alias("key"))
     # Copies of a text bring the same (key, t) pairs, which combine before the shuffle.
     bucket = checkpoint(spread.groupBy("key").agg(F.min("t").alias("low"), F.max("t").alias("high")).where("low <> high").select("key", "low"))
@@ -416,7 +416,7 @@ def text_classes(
         .select("a.t", "a.text", "b.groups")
     )
     kind = "array<struct<group:bigint,blocks:int,bucket:boolean,base:bigint>>"
-    loaded = checkpoint(sources.mapInArrow(_loaded(n, values), f"t long, groups {kind}, grams binary, signature binary"))
+    loaded = checkpoint(sources.mapInArrow(giving_back(_loaded(n, values)), f"t long, groups {kind}, grams binary, signature binary"))
     placed = loaded.select("t", "grams", "signature", F.inline("groups"))
     none = F.lit(0).cast("long")
     alone = placed.where("blocks = 1").select(
@@ -428,7 +428,7 @@ def text_classes(
         placed.where("blocks > 1")
         .join(bases, "base")
         .select("t", "signature", "group", "blocks", "bucket", "grams", "first")
-        .mapInArrow(_differ, "t long, signature binary, group long, blocks int, bucket boolean, size long, base long, common long, less binary, more binary")
+        .mapInArrow(giving_back(_differ), "t long, signature binary, group long, blocks int, bucket boolean, size long, base long, common long, less binary, more binary")
     )
     spans = (
         alone.unionByName(split)
@@ -440,7 +440,7 @@ def text_classes(
         .select("bucket", "group", "lo", "hi", "block", "t", "size", "base", "common", "less", "more", "signature")
         .repartition("bucket", "group", "lo", "hi")
         .sortWithinPartitions("bucket", "group", "lo", "hi", "t")
-        .mapInArrow(_tiled(threshold, least_matches(values, STEP, threshold, tolerance), n_bands, n_rows), "t long, links long, root long")
+        .mapInArrow(giving_back(_tiled(threshold, least_matches(values, STEP, threshold, tolerance), n_bands, n_rows)), "t long, links long, root long")
     )
     linked = checkpoint(tiles.groupBy("t", "root").agg(F.sum("links").alias("links")))
     classes = connected_components(linked.select(F.col("t").alias("u"), F.col("root").alias("v")))

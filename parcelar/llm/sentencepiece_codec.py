@@ -26,20 +26,23 @@ from __future__ import annotations
 import heapq
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, documents
+from .common import bounded_batches, documents, give_back, giving_back
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Words whose ids a task remembers, and bytes of text that are encoded at a time (about).
-MEMORY, PIECE = 500_000, 3_000_000
+#: Words whose ids a task remembers, and bytes of text that are encoded at a time (about); both only bound a worker's memory.
+MEMORY, PIECE = 200_000, 3_000_000
+#: Words, or ids, of which a step looks up the ids, or the bytes, at once.
+STEP = 50_000
 #: Characters of the words that one search holds at once.
 BATCH = 400_000
 #: Characters from which a word is cut into parts, those of a part, and those that neighbours share at least.
@@ -86,6 +89,14 @@ class _Keys:
         return np.concatenate(hits), self.order[np.concatenate(places)]
 
 
+class _Numbers(dict):
+    """Words numbered as they first come."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 class Memory:
     """Ids of words as packed 32-bit integers, in two generations so that frequent words stay."""
 
@@ -96,7 +107,7 @@ class Memory:
         young, old = self.young, self.old
         own = [young.get(w) or old.get(w) for w in words]
         missing = sorted(w for w, ids in zip(words, own) if ids is None)
-        new = {w: array("i", ids).tobytes() for w, ids in encode(missing).items()}
+        new = encode(missing)
         own = [ids if ids is not None else new[w] for w, ids in zip(words, own)]
         if len(young) + len(words) > self.size // 2:
             self.old, self.young = young, {}
@@ -291,26 +302,26 @@ class Codec:
             return [self.byte[b] for b in piece.encode()]
         return [self.unknown]
 
-    def encode_words(self, words: list[str]) -> dict[str, tuple[int, ...]]:
-        """Ids of distinct words, as the model's regular expression cuts them."""
-        found: dict[str, tuple[int, ...]] = {}
+    def encode_words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of distinct words, as the model's regular expression cuts them, as packed 32-bit integers."""
+        found: dict[str, bytes] = {}
         groups: dict[int, list[str]] = {}
         long = []
         for w in words:
             if len(w) == 1:
-                found[w] = tuple(self._spelled(w))
+                found[w] = _packed(self._spelled(w))
             elif len(w) > LONG:
                 long.append(w)
             else:
                 groups.setdefault(len(w), []).append(w)
         for w, ids in zip(long, self._long(long)):
-            found[w] = ids if ids is not None else self._whole(w)
+            found[w] = _packed(ids if ids is not None else self._whole(w))
         for n, group in groups.items():
             step = max(1, BATCH // n)
             for k in range(0, len(group), step):
                 part = group[k : k + step]
                 for w, ids in zip(part, self._search(part)):
-                    found[w] = ids if ids is not None else self._whole(w)
+                    found[w] = _packed(ids if ids is not None else self._whole(w))
         return found
 
     def _whole(self, word: str) -> tuple[int, ...]:
@@ -388,31 +399,41 @@ class Codec:
 
     def encode(self, texts: list[str], memory: Memory) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts behind one another, and the number of each; ``memory`` keeps words' ids."""
-        split = [self.words(t) for t in texts]
-        sizes = np.array([len(words) for words in split], np.int64)
-        numbered = pa.array(list(chain.from_iterable(split)), pa.string()).dictionary_encode()
-        word, distinct = numbered.indices.to_numpy(), numbered.dictionary.to_pylist()
-        own = memory.find(distinct, self.encode_words)
-        width = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        numbers, word, sizes = _Numbers(), array("i"), []
+        for t in texts:  # words are numbered text by text, so that only the distinct ones are held
+            words = self.words(t)
+            word.extend(map(numbers.__getitem__, words))
+            sizes.append(len(words))
+        own = memory.find(list(numbers), self.encode_words)
+        word = np.frombuffer(word, np.int32)
+        width = np.fromiter(map(len, own), np.int32, len(own)) // 4
         pool = np.frombuffer(b"".join(own), np.int32)
-        each = width[word]
-        upto = np.cumsum(each)
-        start = np.cumsum(width) - width
-        ids = pool[np.repeat(start[word] - (upto - each), each) + np.arange(int(each.sum()))]
-        bounds = np.concatenate([[0], upto])[np.concatenate([[0], np.cumsum(sizes)])]
-        return ids, np.diff(bounds)
+        start = np.cumsum(width, dtype=np.int64) - width
+        upto = np.concatenate([[0], np.cumsum(width[word], dtype=np.int64)])
+        ids = np.empty(upto[-1], np.int32)
+        for lo in range(0, len(word), STEP):
+            some, ends = word[lo : lo + STEP], upto[lo : lo + STEP + 1]
+            ids[ends[0] : ends[-1]] = pool[np.repeat(start[some] - (ends[:-1] - ends[0]), width[some]) + np.arange(ends[-1] - ends[0])]
+        return ids, np.diff(upto[np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])])
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
         """UTF-8 bytes of each text, without the blank that encoding put in front."""
-        width = self.widths[ids]
-        total = np.cumsum(width)
-        place = np.repeat(self.offsets[ids] - (total - width), width) + np.arange(int(total[-1]) if len(total) else 0)
-        joined = self.blob[place].tobytes()
-        bounds = np.concatenate([[0], total])[np.concatenate([[0], np.cumsum(counts)])].tolist()
+        total = np.concatenate([[0], np.cumsum(self.widths[ids])])
+        parts = []
+        for lo in range(0, len(ids), STEP):  # places take eight bytes for each byte of text
+            some, ends = ids[lo : lo + STEP], total[lo : lo + STEP + 1]
+            place = np.repeat(self.offsets[some] - (ends[:-1] - ends[0]), self.widths[some]) + np.arange(ends[-1] - ends[0])
+            parts.append(self.blob[place].tobytes())
+        joined = b"".join(parts)
+        bounds = total[np.concatenate([[0], np.cumsum(counts)])].tolist()
         out = [joined[a:b] for a, b in zip(bounds, bounds[1:])]
         return [t[1:] if self.prefix and t[:1] == b" " else t for t in out]
 
 
+def _packed(ids: Iterable[int]) -> bytes:
+    return array("i", ids).tobytes()
+
+
 def _finish(h: np.ndarray, length: int) -> np.ndarray:
     return (h ^ np.uint64(length * 0xC2B2AE3D27D4EB4F % 2**64)) * _P  # the upper bits hang on all bits
 
@@ -442,6 +463,27 @@ def _codec(model: bytes) -> Codec:
     return _CODECS[model]
 
 
+def _pieces(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[list[pa.RecordBatch]]:
+    """The rows in order, in lists of slices of up to ``most`` bytes of text (16 more a row), or of one row with more."""
+    held, size = [], 0
+    for batch in batches:
+        upto = np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy().astype(np.int64) + 16)
+        at, done = 0, 0
+        while at < len(batch):
+            to = int(np.searchsorted(upto, done + most - size, "right"))
+            if to == at and not held:
+                to += 1
+            if to > at:
+                held.append(batch.slice(at, to - at))
+                size += int(upto[to - 1]) - done
+                at, done = to, int(upto[to - 1])
+            if at < len(batch) or size >= most:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
 def _encoded(shared):
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, memory = _codec(shared.value), Memory()
@@ -454,18 +496,11 @@ def _encoded(shared):
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(ids))
             return pa.RecordBatch.from_arrays([whole["doc_id"], pa.array(counts), lists, pa.array(same)], names=["doc_id", "n_tokens", "tokens", "round_trip"])
 
-        held, size = [], 0
-        for batch in batches:  # batches are bounded by bytes; several make one search
-            if len(batch):
-                held.append(batch)
-                size += batch.nbytes
-            if size >= PIECE:
-                yield flush(held)
-                held, size = [], 0
-        if held:
+        for held in _pieces(batches, PIECE):  # small batches make one search, a large one several
             yield flush(held)
+            give_back()
 
-    return encoded
+    return giving_back(encoded)
 
 
 def _decoded(shared):

@@ -3,8 +3,11 @@
 import random
 import re
 import time
+import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import sentencepiece
 from conftest import SMALL
 from tokenizers import models
@@ -109,6 +112,38 @@ def test_round_trip(spark):
     assert back == {r["doc_id"]: r["text"] for r in docs.collect()}
 
 
+def test_pieces_hold_all_rows_in_order():
+    texts = [None, "", "x" * 900, "y" * 5000, "é" * 300, *["z"] * 400, None, "w" * 984, ""]
+    whole = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    for step in (1, 3, 100, len(texts)):
+        batches = [whole.slice(k, step) for k in range(0, len(texts), step)]
+        pieces = [[r for b in held for r in b.to_pylist()] for held in codec._pieces([whole.slice(0, 0), *batches], 1000)]
+        assert [r["text"] for p in pieces for r in p] == texts
+        assert all(len(p) == 1 or sum(16 + len((r["text"] or "").encode()) for r in p) <= 1000 for p in pieces)
+    assert list(codec._pieces([], 1000)) == list(codec._pieces([whole.slice(0, 0)], 1000)) == []
+
+
+def test_memory_of_a_large_batch():
+    """A batch of 12 MB is encoded in pieces, and bytes are looked up a step at a time."""
+    draw = random.Random(10)
+    words = ["".join(draw.choices("abcdefghij", k=8)) for _ in range(2000)]
+    texts = [" ".join(draw.choices(words, k=1300)) for _ in range(1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(texts)], names=["doc_id", "text"])
+    kernel = codec._encoded(SimpleNamespace(value=model()))
+    list(kernel(iter([batch.slice(0, 1)])))
+    library = sentencepiece.SentencePieceProcessor(model_proto=model())
+    tracemalloc.start()
+    ids, peak = [], 0
+    for out in kernel(iter([batch])):
+        peak = max(peak, tracemalloc.get_traced_memory()[1])
+        ids += out["doc_id"].to_pylist()
+        assert all(out["round_trip"].to_pylist())
+        assert out["tokens"][0].as_py() == library.encode(texts[out["doc_id"][0].as_py()])
+    tracemalloc.stop()
+    assert ids == list(range(1000))
+    assert peak < 150e6
+
+
 def test_counts_equal_word_pieces(spark):
     starts, continues = token_counts.read_vocabulary(token_counts.VOCABULARY)
     vocabulary = {p: i for i, p in enumerate(dict.fromkeys([*starts, *("##" + p for p in continues), "[UNK]"]))}
