@@ -101,3 +101,19 @@ def test_longest_factors(seed):
     for i in places.tolist():
         assert previous[i] == max((common(i, j) for j in range(i)), default=0)
         assert following[i] == max((common(i, j) for j in places.tolist() if j > i), default=0)
+
+
+def test_planted_passages_of_57_words(spark, tmp_path):
+    """The contract counts bytes: passages that other documents repeat go from 400 bytes on, however many words they have."""
+    rng = random.Random(13)
+    some = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    rows, want = [], {}
+    for i in range(60):
+        head, tail = (" ".join(some(6) for _ in range(rng.randint(0, 300))) for _ in range(2))
+        if i % 3 == 0:  # for this document and the next, not for the third
+            passage = " ".join([some(6) for _ in range(56)] + [some(7 + i // 3 % 2)])
+        text = head + "<>."[i % 3] + (passage if i % 3 < 2 else "") + "<>."[i % 3] + tail
+        rows.append((i, text))
+        want[i] = (len(text), 400 if i % 3 < 2 and len(passage) == 400 else 0)
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"]) for r in m.op1_suffix_dedup(spark, str(tmp_path)).collect()} == want
