@@ -217,3 +217,42 @@ def test_objective_of_nodes_forms_pairs_inside_regions_only(spark, monkeypatch):
 
     monkeypatch.setattr(features, "pairwise_dissimilarity", None)  # all pairs of the table aren't needed
     queries.objective_pairwise(spark, "/root/testdata/sf0.001").collect()
+
+
+def shuffled_bytes(spark):
+    gateway = spark.sparkContext._gateway
+    lists = [gateway.jvm.java.util.ArrayList() for _ in range(2)]
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(lists[0], False, False, gateway.new_array(gateway.jvm.double, 0), lists[1])
+    return sum(stages.apply(n).shuffleWriteBytes() for n in range(stages.size()))
+
+
+def test_nodes_of_all_pairs_are_shuffled_a_few_times_only(spark):
+    """An equi-join of tiles would write each of the 64 blocks 65 times."""
+    x = np.random.default_rng(3).normal(size=(1024, 32))
+    nodes = spark.createDataFrame([("a", i, row) for i, row in enumerate(x.tolist())], "instance string, node_id int, x array<double>")
+    before = shuffled_bytes(spark)
+    assert features.pairwise_dissimilarity(nodes, 16).count() == 1024 * 1023 // 2
+    assert 0 < shuffled_bytes(spark) - before < 8 * x.nbytes
+
+
+@pytest.mark.parametrize("named", [True, False])
+def test_pairs_of_instances_of_one_block_and_of_many(spark, named):
+    ids = {"many": [n * 37 - 100 for n in range(40)], "more": list(range(30)), "one": [1, 2, 4], "single": [9]}
+    x = {(i, n): [n * 0.25, float(n % 7)] for i in ids for n in ids[i]}
+    nodes = spark.createDataFrame([(i, n, v) for (i, n), v in x.items()] + [(None, 3, [0.0, 0.0]), (None, 4, [1.0, 0.0])], "instance string, node_id int, x array<double>")
+    want = [(i, a, b, (x[i, a][0] - x[i, b][0]) ** 2 + (x[i, a][1] - x[i, b][1]) ** 2) for i in ids for a in ids[i] for b in ids[i] if a < b]
+    got = features.pairwise_dissimilarity(nodes, 7, named=named)
+    assert sorted(map(tuple, got.collect())) == sorted(want if named else [row[1:] for row in want])
+    small = features.pairwise_dissimilarity(nodes.where("instance IN ('one', 'single')"), 7, named=named)
+    assert len(small.collect()) == 3 and features.pairwise_dissimilarity(nodes.where("false"), 7).isEmpty()
+
+
+def test_distances_are_rounded_as_in_sql(spark):
+    import duckdb
+
+    d = np.arange(12_345_678, 12_346_678) * 1e-6 + 0.5e-6
+    d = np.concatenate([d, np.nextafter(d, 0), np.nextafter(d, 99), [0.0, 0.5e-6, 1e300, np.inf]])
+    want = duckdb.sql(f"SELECT round(unnest({d[:-1].tolist()}::DOUBLE[]), 6) AS r").df()["r"].to_numpy()
+    assert (features._rounded(d, 6)[:-1] == want).all() and features._rounded(d, 6)[-1] == np.inf
+    nodes = spark.createDataFrame([("a", 0, [0.0]), ("a", 1, [0.9])], "instance string, node_id int, x array<double>")
+    assert features.pairwise_dissimilarity(nodes, digits=1).first()["d"] == 0.8
